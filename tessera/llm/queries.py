@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, toxicity
+from . import bpe, exactdup, langid, neardup, packing, quality, topk, toxicity
 from .common import id_remainder, load
 
 
@@ -15,6 +15,15 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exactdup.mark(load(spark, sf_dir, "documents"), largest=True)
+    return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(id_remainder(F.col("doc_id"), 3) != 1))
@@ -27,6 +36,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select(F.col("id").alias("doc_id"), (id_remainder(F.col("id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("id", "doc_id")
 
@@ -40,10 +54,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_simhash_vptree": op4_simhash_vptree,
+    "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_nra_topk": op8_nra_topk,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_lsm_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op8_nra_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5""",
+}
