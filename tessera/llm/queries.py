@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, langid, neardup, packing, quality, topk, toxicity
+from . import bpe, exactdup, langid, neardup, packing, pii, quality, substring, topk, toxicity
 from .common import id_remainder, load
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(load(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("id", "doc_id")
 
@@ -53,6 +61,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_crf": op1_pii_crf,
+    "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op4_simhash_vptree": op4_simhash_vptree,
     "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
