@@ -10,85 +10,142 @@ laid end to end and cut at the capacity, so that each worker leaves one short se
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import chunks
+from .common import chunks, text_buffers
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 2048
 #: A rest is cut further only while its class would waste more than this share of a bin.
 WASTE = 1 / 64
-#: Words whose ids a worker remembers, and the longest such word; others are encoded each time.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 40
+#: Words, and parts of words, that a worker remembers; after a word longer than the third figure it forgets all.
+CACHE_WORDS, CACHE_PARTS, CACHE_LENGTH = 400_000, 500_000, 1000
+#: Each space-ended word: lower-case Latin letters and then ASCII punctuation but the apostrophe, or, with both groups empty, anything else.
+_WORDS = re.compile(r"(?:([a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĺļľŀłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]++)([!-&(-/:-@\[-`{-~]*+)|[^ ]*) ")
+
+
+class Rows(dict):
+    """Numbers words as they are first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.new.append(word)
+        return row
 
 
 class WordEncoder:
     """Ids of whole texts by way of their space-separated words, which this vocabulary encodes independently.
 
-    The pattern gives no match across white space, and neither normalisation
-    step joins characters over it, so ids of a text are those of its words.
+    The pattern gives no match across white space, and no normalisation step
+    joins characters over it, so the ids of a text are those of its words. It gives
+    none across the end of a run of letters either, except at an apostrophe, so a
+    word of letters and punctuation is remembered as two parts, its letters in lower case.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.starts, self.counts, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
-
-    def _add(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        starts = self.used + np.concatenate(([0], np.cumsum(counts)))[:-1]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.full = Tokenizer.from_file(path)
+        self.full.encode_special_tokens = True
+        # The same model for parts that are one match already, in lower case and composed.
+        self.bare = Tokenizer(self.full.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._clear_parts()
+
+    def _clear_words(self) -> None:
+        self.words = Rows()
+        self.words[""] = 0
+        self.pairs = np.zeros((1, 2), np.int32)  # each word's two parts, as rows of ``starts`` and ``counts``
+
+    def _clear_parts(self) -> None:
+        self._clear_words()
+        self.parts: dict[str, int] = {"": 0}
+        self.starts, self.counts, self.flat, self.used = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint32), 0
+
+    def _store(self, encoded: list[list[int]]) -> int:
+        """Appends parts' ids; the row of the first."""
+        counts = np.fromiter(map(len, encoded), np.int32, len(encoded))
         total = int(counts.sum())
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + total + 1024, np.uint32)))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used // 4 + total + 1024, np.uint32)))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        first = len(self.counts)
+        self.starts = np.concatenate((self.starts, (self.used + np.cumsum(counts) - counts).astype(np.int32)))
+        self.counts = np.concatenate((self.counts, counts))
         self.used += total
-        base = len(self.index)
-        self.index.update(zip(words, range(base, base + len(words)), strict=True))
-        self.starts, self.counts = np.concatenate((self.starts, starts)), np.concatenate((self.counts, counts))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """One array of ids per text."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {w for words in split for w in words if w not in self.index}
-        long = {w for w in missing if len(w) > CACHE_LENGTH}
-        keep = sorted(missing - long)
-        if keep:
-            self._add(keep)
-        look = self.index
-        if long:
-            # Kept for this call only.
-            look = dict.fromkeys(long)
-            before, used = len(self.index), self.used
-            self._add(sorted(long))
-            look.update((w, self.index.pop(w)) for w in long)
-            out = [self._ids([look[w] if w in look else self.index[w] for w in words]) for words in split]
-            self.starts, self.counts, self.used = self.starts[:before], self.counts[:before], used
-            return out
-        return [self._ids(list(map(look.__getitem__, words))) for words in split]
-
-    def _ids(self, rows: list[int]) -> np.ndarray:
-        at = np.array(rows, np.int64)
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)]
+        return first
+
+    def _learn(self, missing: list[str]) -> None:
+        joined = " ".join(missing) + " "
+        low = joined.lower()
+        # Lower case of another length (one letter has it) shifts the words: those are then looked at one by one.
+        found = _WORDS.findall(low) if len(low) == len(joined) else [_WORDS.findall(w.lower() + " ")[0] if len(w.lower()) == len(w) else ("", "") for w in missing]
+        cores = [core or word for (core, _), word in zip(found, missing, strict=True)]
+        rests = [rest for _, rest in found]
+        parts = self.parts
+        plain = {core for core, _ in found}.difference(parts)
+        plain.discard("")
+        odd = {*rests, *(w for (core, _), w in zip(found, missing, strict=True) if not core)}.difference(parts, plain)
+        # A lower-case word of letters has the same ids either way, so the two kinds can share names.
+        for names, tokenizer in ((list(plain), self.bare), (list(odd), self.full)):
+            if names:
+                first = self._store([e.ids for e in tokenizer.encode_batch_fast(names, add_special_tokens=False)])
+                parts.update(zip(names, range(first, first + len(names)), strict=True))
+        rows = np.array([list(map(parts.__getitem__, cores)), list(map(parts.__getitem__, rests))], np.int32).T
+        self.pairs = np.concatenate((self.pairs, rows))
+
+    @staticmethod
+    def _spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what lies at each start, for its count, end to end; where each begins there, and the end)."""
+        ends = np.zeros(len(counts) + 1, np.int32)
+        np.cumsum(counts, out=ends[1:])
+        at = np.repeat(starts.astype(np.int32) - ends[:-1], counts)
+        at += np.arange(len(at), dtype=np.int32)
+        return flat[at], ends
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """One array of ids per text; null counts as empty."""
+        data, offsets = text_buffers(column)
+        spaced = np.where(data == 10, np.uint8(32), data)  # lines end words as spaces do
+        texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(spaced))
+        split = pc.split_pattern(texts, " ")
+        # Arrow finds the batch's distinct words; only those are looked up one by one.
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        words = self.words
+        rows = np.fromiter(map(words.__getitem__, names), np.int32, len(names))
+        longest = max(map(len, words.new), default=0)
+        if words.new:
+            self._learn(words.new)
+            words.new = []
+        # Ids of the batch's distinct words, end to end; then those of all words, in order.
+        mine, at = self._spread(self.flat, self.starts[self.pairs[rows].ravel()], self.counts[self.pairs[rows].ravel()])
+        first = at[:-1:2]
+        each = coded.indices.to_numpy()
+        ids, ends = self._spread(mine, first[each], (at[2::2] - first)[each])
+        bounds = ends[split.offsets.to_numpy()]
+        if len(self.parts) > CACHE_PARTS or longest > CACHE_LENGTH:
+            self._clear_parts()
+        elif len(words) > CACHE_WORDS:
+            self._clear_words()
+        return np.split(ids, bounds[1:-1]) if len(column) else []
 
 
 @lru_cache(maxsize=2)
@@ -207,11 +264,10 @@ def pack_documents(
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in chunks(batches, 1):
+        for batch in chunks(batches, 1, 1 << 23):
             types[:] = [batch.column(0).type]
             done: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 total = len(ids) + 1
                 raw = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
                 start = 0
