@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_name, text_buffers
+from .common import checkpoint, chunks, fresh_name, text_buffers
 
 #: Bytes of distinct text in a memtable before it is flushed.
 MEMTABLE_BYTES = 24 << 20
@@ -160,19 +160,27 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(compact, f"digest binary, keep_id {id_type}, keep_rows long, group_size long")
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, largest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, largest: bool = False) -> DataFrame:
+    """The rows of the index for texts that occur more than once."""
+    return build_index(docs, id_col, text_col, normalise, largest).where(F.col("group_size") > 1)
+
+
+def mark(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, largest: bool = False, keep: tuple[str, ...] = (), groups: DataFrame | None = None
+) -> DataFrame:
     """One row per document: id, the ``keep`` columns, keep_id, keep_rows, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts equal each other. Of equal texts the
     smallest id stays (the largest, if ``largest``); null ids lose, and a group with
     null ids only has a null keep_id and keeps all its rows. Rows that repeat both id
     and text can't be told apart: all that have keep_id are marked kept, and
-    keep_rows says how many those are.
+    keep_rows says how many those are. ``groups``: the index's rows of more than one
+    document, if it is built already.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.sha2(normalise(text) if normalise else text, 256)
     # Only texts that occur more than once are in the joined side; AQE splits the other side where one digest is hot.
-    groups = build_index(docs, id_col, text_col, normalise, largest).where(F.col("group_size") > 1)
+    groups = repeated(docs, id_col, text_col, normalise, largest) if groups is None else groups
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], digest.alias("text_sha256")).withColumn("digest", F.unhex("text_sha256"))
     return rows.join(groups, "digest", "left").select(
         "id",
@@ -188,9 +196,12 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, largest: bool = False) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay as they are."""
     row = fresh_name(docs, "row")
-    marked = mark(docs.select(F.struct("*").alias(row), F.col(id_col).alias("id_for_dedup"), F.col(text_col).alias("text_for_dedup")), "id_for_dedup", "text_for_dedup", normalise, largest, keep=(row,))
-    kept = marked.where("kept")
-    once = kept.where(F.col("keep_rows") == 1)
-    # Rows that repeat id and text: any one of them.
-    several = kept.where(F.col("keep_rows") > 1).groupBy("text_sha256", "id").agg(F.first(row).alias(row))
-    return once.select(f"{row}.*").unionByName(several.select(f"{row}.*"))
+    base = docs.select(F.struct("*").alias(row), F.col(id_col).alias("id_for_dedup"), F.col(text_col).alias("text_for_dedup"))
+    names = ("id_for_dedup", "text_for_dedup", normalise, largest)
+    groups = checkpoint(repeated(base, *names))
+    kept = mark(base, *names, keep=(row,), groups=groups).where("kept")
+    if not groups.where(F.col("keep_rows") > 1).isEmpty():
+        # Some rows repeat id and text: any one of them stays.
+        several = kept.where(F.col("keep_rows") > 1).groupBy("text_sha256", "id").agg(F.first(row).alias(row))
+        return kept.where(F.col("keep_rows") == 1).select(f"{row}.*").unionByName(several.select(f"{row}.*"))
+    return kept.select(f"{row}.*")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, chunks, ensure_checkpoint_dir, fresh_name
@@ -166,16 +166,21 @@ def link_shard(home: np.ndarray, visit: np.ndarray, radius: int = RADIUS) -> tup
     return points[linked], points[forest.parent[linked]]
 
 
+def text_key(c: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id, fp (long): one row per document; null and empty texts have fingerprint 0."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    """id, key (of the text), fp (long): one row per document; null and empty texts have fingerprint 0."""
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), text_key(F.col(text_col)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["id", "key", "fp"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, fp long")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
 def star_links(points: DataFrame, count: int, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
@@ -242,6 +247,14 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return linked.join(ids, "root").select("fp", "component_id").union(joined.where(F.col("root").isNull() & (F.col("n") > 1)).select("fp", F.col("least").alias("component_id")))
 
 
+def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, seed: int) -> DataFrame:
+    """id, key, fp, component_id of each document."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints = checkpoint(fingerprints(docs, id_col, text_col, shingle, seed))
+    # AQE splits the side of the documents where one fingerprint is hot.
+    return prints.join(groups(prints, radius), "fp", "left").select("id", "key", "fp", F.coalesce("component_id", "id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (least id reachable over links).
 
@@ -249,17 +262,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text of fewer words than a shingle is one shingle. Null ids are no one's
     component_id while their component has another id. Repeated rows give repeated rows.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    prints = checkpoint(fingerprints(docs, id_col, text_col, shingle, seed))
-    # AQE splits the side of the documents where one fingerprint is hot.
-    return prints.join(groups(prints, radius), "fp", "left").select(
-        "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    found = labelled(docs, id_col, text_col, radius, shingle, seed)
+    return found.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; all columns stay as they are."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    key = fresh_name(docs, "id_to_drop")
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(key)).distinct()
-    return docs.join(gone, docs[id_col] == gone[key], "left_anti")
+    """``docs`` with one document of each component, that of the least id; all columns stay as they are.
+
+    Of rows that repeat id and text one stays. Several texts under the least id of
+    their component stay, and so do documents without an id.
+    """
+    found = checkpoint(labelled(docs, id_col, text_col, radius, SHINGLE, SEED))
+    ident, key = fresh_name(docs, "id_to_drop"), fresh_name(docs, "key_to_drop")
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(ident), F.col("key").alias(key)).distinct()
+    kept = docs.join(gone, (docs[id_col] == gone[ident]) & (text_key(docs[text_col]) == gone[key]), "left_anti")
+    if found.where(F.col("id").isNotNull()).groupBy("id", "key").count().where("count > 1").isEmpty():
+        return kept
+    once = kept.where(F.col(id_col).isNotNull()).withColumn(key, text_key(F.col(text_col))).dropDuplicates([id_col, key]).drop(key)
+    return once.unionByName(kept.where(F.col(id_col).isNull()))

@@ -9,7 +9,6 @@ for much less than one that stands by itself or near a second person.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -233,16 +232,34 @@ def _token_set(text: str) -> set[str]:
     return {whole[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)}
 
 
+_MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 62, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(words: set[str]) -> set[tuple]:
+    """Eight signatures of three least hashes each; copies of a text share one, nearly always, and other texts hardly ever do.
+
+    Only longer tokens count, as the short ones are common to all texts of a language.
+    """
+    long = [w for w in words if len(w) >= 6]
+    if len(long) < 4:
+        return {(-1, *sorted(words))}
+    h = np.array([zlib.crc32(w.encode()) for w in long], np.uint64)
+    least = ((h[:, None] * _MULTIPLIERS[None, :]) >> np.uint64(16)).min(0).tolist()
+    return {(i, *least[3 * i : 3 * i + 3]) for i in range(8)}
+
+
 def learn(examples: list[tuple[str, int]], s: Settings = Settings()) -> Model:
     """The lexicon of (text, label) pairs. Near copies of a text count once."""
-    unique: dict[tuple, tuple[set[str], int, str]] = {}
+    unique: list[tuple[set[str], int, str]] = []
+    seen_bands: set[tuple] = set()
     for text, label in examples:
-        found = _token_set(text)
-        if found:
-            # Copies share nearly all tokens, and so, most often, the two of least hash.
-            unique.setdefault(tuple(heapq.nsmallest(2, ((zlib.crc32(w.encode()), w) for w in found))), (found, label, text))
-    toxic = [f for f, l, _ in unique.values() if l]
-    other = [f for f, l, _ in unique.values() if not l]
+        if found := _token_set(text):
+            bands = _bands(found)
+            if seen_bands.isdisjoint(bands):
+                unique.append((found, label, text))
+            seen_bands.update(bands)
+    toxic = [f for f, l, _ in unique if l]
+    other = [f for f, l, _ in unique if not l]
     empty = Model([], build_automaton([]), s, 0.01)
     if not toxic or not other:
         return empty
@@ -289,7 +306,7 @@ def learn(examples: list[tuple[str, int]], s: Settings = Settings()) -> Model:
         # Edits are given up where they hit clean documents.
         model = Model(entries, build_automaton(entries), s, 0.01)
         seen = {True: Counter(), False: Counter()}
-        for _, label, text in unique.values():
+        for _, label, text in unique:
             data = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             low, starts, ends, _ = tokens(data, np.array([0, len(data)]))
             _, entry, distance = matches(model.automaton, low, starts, ends)
