@@ -1,0 +1,87 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tessera.llm import pii
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return re.sub(r"[^0-9]", "", s)
+
+
+def brute(text):
+    out = [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m[0])) <= 19 and sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits(m[0])))) % 10 == 0]
+    return out + [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+
+
+@pytest.mark.parametrize("alphabet", ["01.@a", "0123456789.@ab+-() ", "0123 -+.", "a@.-é１"])
+def test_patterns_against_plain_ones(alphabet):
+    rng = random.Random(1)
+    for _ in range(600):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 160)))
+        assert pii.base_spans(text) == brute(text)
+
+
+def test_patterns_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "1 " * 150_000, "+" + "1 " * 150_000, "a@" + "b" * 300_000):
+        pii.base_spans(text)
+
+
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(3)
+    k = len(pii.FIELD_KINDS) + 1
+    field = pii.Field({n: np.zeros(1, np.uint64) for n in ("shape", "coarse", "spelling")}, [], rng.normal(size=(k, k)))
+    e = rng.normal(size=(400, k)).astype(np.float32) * 3
+    field.emissions, field.rows = (lambda rows: e), (lambda words: [np.zeros(400)])
+    document = np.repeat(np.arange(40), 10)
+    words = pii.Words(np.arange(400), np.arange(400) + 1, document, *(np.zeros(400, np.uint64),) * 3)
+    got = field.decode(words)
+    t = field.transition.astype(np.float32)
+    for d in range(40):
+        x = e[10 * d : 10 * d + 10]
+        best, back = x[0] + t[0], []
+        for i in range(1, 10):
+            paths = best[:, None] + t
+            back.append(paths.argmax(0))
+            best = paths.max(0) + x[i]
+        state = [int((best + t[:, 0]).argmax())]
+        for b in reversed(back):
+            state.append(int(b[state[-1]]))
+        assert got[10 * d : 10 * d + 10].tolist() == state[::-1]
+
+
+def found(text):
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return [(pii.KINDS[k], text[a:b]) for k, a, b in pii.field_spans(pii.train(), points, np.array([0, len(points)]))[0]]
+
+
+def test_field_on_new_sentences():
+    assert found("you can phone me on (646) 555-0143 tonight") == [("local_phone", "(646) 555-0143")]
+    assert found("her social security number is 123-45-6789 , keep it") == [("id_number", "123-45-6789")]
+    assert found("the log says password=0a1b2c3d4e5f607182 again") == [("secret", "password=0a1b2c3d4e5f607182")]
+    for clean in ("In 2021 about 3,400 people came .", "Der Hund und die Katze sind 7 Jahre alt .", "version 2.0.1 of the tool", "nothing here at all", "the ththe anding ofre WHAT!! thing***"):
+        assert found(clean) == []
+
+
+def test_documents(make_docs, odd_docs, no_docs):
+    text = "é mail bo.b@ex-1.org from 10.0.0.1, card 4111 1111 1111 1111 or +1 (988) 555-2485; 300.1.1.1"
+    r = pii.find(make_docs([(1, text)])).first()
+    base = sorted(brute(text))
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    assert r.base_sha256 == hashlib.sha256(pii.spell(base).encode()).hexdigest()
+    assert set(pii.spell(base).split(",")) <= set(r.spans.split(","))
+    rows = pii.find(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and {r.spans for r in rows} == {""} and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    masked = pii.redact(make_docs([(1, text), (2, None), (3, "plain")]))
+    got = {r.doc_id: r.text for r in masked.collect()}
+    assert got[1] == "é mail <email> from <ip>, card <card> or <phone>; 300.1.1.1" and got[2] is None and got[3] == "plain"
+    assert masked.columns == odd_docs.columns and pii.redact(odd_docs).count() == odd_docs.count()
+    assert pii.find(no_docs).count() == 0 == pii.redact(no_docs).count()
