@@ -163,8 +163,8 @@ query("""SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c
     lambda e: orders(e).inner_join("customer", _TO_CUSTOMER).inner_join("nation", Qualified("customer.c_nationkey").eq_col(Qualified("nation.n_nationkey"))).inner_join("region", Qualified("nation.n_regionkey").eq_col(Qualified("region.r_regionkey")))
     .group_by(["region.r_name"], [agg.count_star().as_("n")])
 )
-query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS avg_bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "join_group")(
-    lambda e: e.repo(CUSTOMER).inner_join("nation", Qualified("customer.c_nationkey").eq_col(Qualified("nation.n_nationkey"))).group_by(["nation.n_name"], [agg.count_star().as_("n"), agg.avg("c_acctbal").as_("a")]).select("n_name", "n", F.round("a", 2).alias("avg_bal"))
+query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "join_group")(
+    lambda e: e.repo(CUSTOMER).inner_join("nation", Qualified("customer.c_nationkey").eq_col(Qualified("nation.n_nationkey"))).group_by(["nation.n_name"], [agg.count_star().as_("n"), agg.avg("c_acctbal").as_("a")]).select("n_name", "n", F.round("a", 6).alias("avg_bal"))
 )
 query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "semi_keys")(
     lambda e: (lambda c, o: c.join(o, c.c_custkey == o.o_custkey, "left_semi"))(e.repo(CUSTOMER).query().select("c_custkey"), orders(e).where(PRICE.gt(400000)).select("o_custkey"))
@@ -175,7 +175,7 @@ query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM
 query("SELECT round(sum(o_totalprice), 2) AS total FROM orders", "sum")(lambda e: orders(e).aggregate(agg.sum_("o_totalprice").as_("t")).select(F.round("t", 2).alias("total")))
 query("SELECT coalesce(sum(o_totalprice), 0) AS total FROM orders WHERE o_orderkey < 0", "sum_empty_zero")(lambda e: orders(e).where(KEY.lt(0)).aggregate(agg.sum_("o_totalprice").as_("total")))
 query("SELECT CAST(coalesce(sum(p_size), 0) AS BIGINT) AS total FROM part WHERE p_size > 10", "sum_int")(lambda e: e.repo(PART).where(PART.c("p_size").gt(10)).aggregate(agg.sum_("p_size").as_("total")))
-query("SELECT round(avg(o_totalprice), 2) AS mean FROM orders", "avg")(lambda e: orders(e).aggregate(agg.avg("o_totalprice").as_("m")).select(F.round("m", 2).alias("mean")))
+query("SELECT round(avg(o_totalprice), 6) AS mean FROM orders", "avg")(lambda e: orders(e).aggregate(agg.avg("o_totalprice").as_("m")).select(F.round("m", 6).alias("mean")))
 query("SELECT avg(o_totalprice) AS mean FROM orders WHERE o_orderkey < 0", "avg_empty_null")(lambda e: orders(e).where(KEY.lt(0)).aggregate(agg.avg("o_totalprice").as_("mean")))
 query("SELECT min(o_totalprice) AS low FROM orders", "min")(lambda e: orders(e).aggregate(agg.min_("o_totalprice").as_("low")))
 query("SELECT max(o_orderdate) AS high FROM orders", "max")(lambda e: orders(e).aggregate(agg.max_("o_orderdate").as_("high")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,7 +52,7 @@ def to_text(c: Column) -> Column:
 
 def is_zero(c: Column) -> Column:
     """The zero date stands for none; null is zero too."""
-    return F.coalesce(c == F.lit(date(1, 1, 1)), F.lit(True))
+    return F.coalesce(c == F.lit("0001-01-01").cast("date"), F.lit(True))
 
 
 def today() -> Column:
