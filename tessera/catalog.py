@@ -17,11 +17,11 @@ from .operators.include import Include
 from .operators.paging import encode_cursor, keyset_frame, offset_page_meta
 from .plans.engine import Engine
 from .plans.query import Query
-from .schema.diff import converted, rebuilt
+from .schema.diff import converted, diff, rebuilt
 from .sources.rawsql import raw_query
 from .spec import ModelSpec, RelationSpec, column, model
 from .streaming import events as log
-from .streaming import inbox, outbox
+from .streaming import inbox, outbox, run
 
 REGION = model("region", column("r_regionkey", "int"), column("r_name", "string"), key="r_regionkey")
 NATION = model(
@@ -375,6 +375,21 @@ query("""SELECT CAST(user_id AS VARCHAR) AS message_id, event_type AS handler, m
 )
 query("SELECT event_id FROM events WHERE NOT (ts < TIMESTAMP '2024-01-10')", "purge")(lambda e: inbox.purged(e.table("events").withColumnRenamed("ts", "processed_at"), datetime(2024, 1, 10)).select("event_id"))
 
+# ---- streams, run over what is there
+
+
+def streaming(sql: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run.drain(plan(run.source(spark, sf_dir, "events", "ts")), mode)
+    ORACLE_SQL[name] = sql
+
+
+streaming("SELECT user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id", "stream_projection_complete", lambda s: s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id")), "complete")
+streaming(
+    "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(value) AS top FROM events GROUP BY ALL", "stream_tumbling",
+    lambda s: s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")).select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "top"), "complete",
+)
+streaming("SELECT DISTINCT user_id, event_type FROM events", "stream_dedupe", lambda s: s.select("user_id", "event_type").dropDuplicates(), "append")
+
 # ---- schema
 
 query("SELECT o_orderkey, coalesce(CAST(nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END, '') AS BIGINT), -1) AS cust FROM orders", "type_change_cast")(
@@ -382,3 +397,6 @@ query("SELECT o_orderkey, coalesce(CAST(nullif(CASE WHEN o_orderkey % 3 = 0 THEN
 )
 _NEW_PART = ModelSpec("part", (column("p_partkey", "long"), column("title", "string", renamed_from="p_name"), column("p_size", "long"), column("stock", "int", default=0)), ("p_partkey",))
 query("SELECT p_partkey, p_name AS title, CAST(p_size AS BIGINT) AS p_size, 0 AS stock FROM part", "table_rebuild_copy")(lambda e: rebuilt(e.table("part"), _NEW_PART))
+query("""SELECT * FROM (VALUES ('rename_column', 'title'), ('change_type', 'p_size'), ('add_column', 'stock'), ('drop_column', 'p_brand'), ('drop_column', 'p_type'), ('drop_column', 'p_retailprice')) t(kind, name)""", "schema_diff_ops")(
+    lambda e: e.spark.createDataFrame([(op.kind, op.column) for op in diff([PART], [_NEW_PART])], "kind string, name string")
+)
