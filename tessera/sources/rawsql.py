@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from datetime import date, datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from ..errors import NotFoundError, ProjectionError, RawArgumentError
 from ..functions.handles import marker_positions
 
 
+SCALARS = (int, float, str, bool, bytes, Decimal, date, datetime)
+
+
 def numbered(sql: str) -> tuple[str, int]:
     """``$1``-style arguments as named ones (``:p1``), outside quotes; and the largest number. A number may be used again, in any order."""
     out, most, i, n = [], 0, 0, len(sql)
@@ -54,9 +59,13 @@ def raw_row(spark: SparkSession, sql: str, *args: Any, **frames: DataFrame) -> A
 
 
 def check_shape(columns: list[str], shape: type | None) -> None:
-    """``shape`` is a dataclass whose fields bind columns by name; a mismatch is an error before anything runs."""
+    """``shape`` is a dataclass whose fields bind columns by name, or a plain type for a single column; a mismatch is an error before anything runs."""
     if shape is None:
         return
+    if shape in SCALARS:
+        if len(columns) != 1:
+            raise ProjectionError(f"{len(columns)} columns for one {shape.__name__}")
+        return
     if not dataclasses.is_dataclass(shape):
         raise ProjectionError(f"{shape!r} is no dataclass")
     fields = {f.name: f for f in dataclasses.fields(shape)}
@@ -68,6 +77,8 @@ def check_shape(columns: list[str], shape: type | None) -> None:
 
 
 def into(df: DataFrame, shape: type) -> list[Any]:
-    """The rows as objects of a dataclass."""
+    """The rows as objects of a dataclass, or as plain values."""
     check_shape(df.columns, shape)
+    if shape in SCALARS:
+        return [row[0] for row in df.collect()]
     return [shape(**row.asDict()) for row in df.collect()]

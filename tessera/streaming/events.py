@@ -71,11 +71,11 @@ class EventLog:
         """Appends (type, payload) pairs as versions expected + 1 and on; the last version. Fails if the stream is not at ``expected``."""
         if not events:
             return expected
-        log = changes.frame(self.table)
-        state = log.agg(F.max(F.when(F.col("stream_id") == stream_id, F.col("version"))).alias("v"), F.max("global_pos").alias("p")).first()
-        if (state["v"] or 0) != expected:
-            raise ConcurrencyError(f"{stream_id} is at {state['v'] or 0}, not {expected}")
-        now, commit, base = datetime.now(UTC), changes.base.version + 1, state["p"] or 0
+        at = changes.frame(self.table).where(F.col("stream_id") == stream_id).agg(F.max("version")).first()[0] or 0
+        if at != expected:
+            raise ConcurrencyError(f"{stream_id} is at {at}, not {expected}")
+        # Positions come from a counter of the store: the log isn't read for them.
+        now, commit, base = datetime.now(UTC), changes.base.version + 1, changes.counter(f"{self.table}.global_pos", len(events))
         rows = [(stream_id, expected + i, base + i, commit, kind, json.dumps(body), json.dumps(metadata or {}), now) for i, (kind, body) in enumerate(events, 1)]
         changes.append(self.table, self.store.spark.createDataFrame(rows, EVENTS))
         changes.depend(self.table)  # versions and positions were taken from this state
@@ -93,9 +93,9 @@ class EventLog:
 
     def save(self, changes: Changes, projection: str, at: Position) -> None:
         """Stores a position, in the same commit as what was made of the events up to it."""
-        others = changes.frame(self.checkpoints).where(F.col("projection") != projection)
-        mine = self.store.spark.createDataFrame([(projection, at.xact_id, at.global_pos, datetime.now(UTC))], CHECKPOINTS)
-        changes.rewrite(self.checkpoints, others.unionByName(mine))
+        changes.edit(self.checkpoints, F.col("projection") == projection, lambda df: df.where(F.col("projection") != projection))
+        changes.append(self.checkpoints, self.store.spark.createDataFrame([(projection, at.xact_id, at.global_pos, datetime.now(UTC))], CHECKPOINTS))
+        changes.depend(self.checkpoints)
 
     def reset(self, changes: Changes, projection: str) -> None:
         self.save(changes, projection, Position())

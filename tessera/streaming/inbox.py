@@ -35,8 +35,10 @@ class Inbox:
         self.store, self.table = store, table
 
     def _put(self, changes: Changes, message_id: str, handler: str, row: tuple) -> None:
-        others = changes.frame(self.table).where(~((F.col("message_id") == message_id) & (F.col("handler") == handler)))
-        changes.rewrite(self.table, others.unionByName(self.store.spark.createDataFrame([row], INBOX)))
+        here = (F.col("message_id") == message_id) & (F.col("handler") == handler)
+        changes.edit(self.table, here, lambda df: df.where(~here))
+        changes.append(self.table, self.store.spark.createDataFrame([row], INBOX))
+        changes.depend(self.table)
 
     def _row(self, changes: Changes, message_id: str, handler: str) -> Any:
         return changes.frame(self.table).where((F.col("message_id") == message_id) & (F.col("handler") == handler)).first()

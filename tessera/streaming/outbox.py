@@ -75,8 +75,8 @@ class Outbox:
             self.append(session.changes, session.store, messages)
 
     def append(self, changes: Changes, store: Store, messages: Iterable[tuple[str, Any, str | None]]) -> None:
-        first = (changes.frame(self.table).agg(F.max("id")).first()[0] or 0) + 1
-        now = datetime.now(UTC)
+        messages, now = list(messages), datetime.now(UTC)
+        first = changes.counter(f"{self.table}.id", len(messages)) + 1
         rows = [(first + i, kind, json.dumps(body), key, now, None, None, None, 0, None, None) for i, (kind, body, key) in enumerate(messages)]
         changes.append(self.table, store.spark.createDataFrame(rows, OUTBOX))
         changes.depend(self.table)
@@ -99,7 +99,7 @@ class Relay:
             if rows:
                 ids = F.col("id").isin([r["id"] for r in rows])
                 until = F.lit(now + timedelta(seconds=self.lease)).cast("timestamp")
-                changes.rewrite(self.table, df.withColumns({"claimed_by": F.when(ids, F.lit(self.name)).otherwise(F.col("claimed_by")), "claimed_until": F.when(ids, until).otherwise(F.col("claimed_until")), "attempts": F.when(ids, F.col("attempts") + 1).otherwise(F.col("attempts"))}))
+                changes.edit(self.table, ids, lambda part: part.withColumns({"claimed_by": F.when(ids, F.lit(self.name)).otherwise(F.col("claimed_by")), "claimed_until": F.when(ids, until).otherwise(F.col("claimed_until")), "attempts": F.when(ids, F.col("attempts") + 1).otherwise(F.col("attempts"))}))
             return [Message(r["id"], r["type"], json.loads(r["payload"]), r["partition_key"], r["attempts"] + 1) for r in rows]
 
         return self.store.transact(work, attempts=10)
@@ -130,16 +130,16 @@ class Relay:
 
         def mark(changes: Changes) -> None:
             now = F.current_timestamp()
-            df = changes.frame(self.table)
             states = self.store.spark.createDataFrame(
                 [(i, "done", None) for i in done] + [(i, "failed", e) for i, e in failed.items()] + [(i, "released", None) for i in released], "id long, _state string, _error string"
             )
-            joined = df.join(F.broadcast(states), "id", "left")  # at most a batch
             state, mine = F.col("_state"), F.col("_state").isNotNull()
-            changes.rewrite(self.table, joined.select("id", "type", "payload", "partition_key", "created_at",
+            mark_all = lambda part: part.join(F.broadcast(states), "id", "left").select(  # noqa: E731  at most a batch is broadcast
+                "id", "type", "payload", "partition_key", "created_at",
                 F.when(state == "done", now).otherwise(F.col("processed_at")).alias("processed_at"), F.when(~mine, F.col("claimed_by")).alias("claimed_by"), F.when(~mine, F.col("claimed_until")).alias("claimed_until"),
                 F.when(state == "released", F.col("attempts") - 1).otherwise(F.col("attempts")).alias("attempts"), F.when(state == "failed", F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
-                F.when((state == "failed") & (F.col("attempts") >= self.attempts), now).otherwise(F.col("dead_at")).alias("dead_at")))
+                F.when((state == "failed") & (F.col("attempts") >= self.attempts), now).otherwise(F.col("dead_at")).alias("dead_at"))
+            changes.edit(self.table, F.col("id").isin([m.id for m in claimed]), mark_all)
 
         self.store.transact(mark, attempts=10)
         return len(done)

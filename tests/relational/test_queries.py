@@ -95,6 +95,11 @@ def test_projection_shapes(engine):
         p.query().select(NAME, into_shape=Item)
     with pytest.raises(errors.ProjectionError):
         p.query().select(NAME, PRICE, ID, into_shape=Item)
+    from tessera.sources.rawsql import into
+
+    assert into(p.order_by(ID.asc()).select(ID), int) == [1, 2, 3, 4]
+    with pytest.raises(errors.ProjectionError):
+        into(p.query().select(ID, NAME), int)
     assert sorted(r[0] for r in p.query().distinct().select(CATEGORY).collect()) == ["accessories", "electronics"]
 
 
