@@ -186,7 +186,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def star_links(points: DataFrame, count: int, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(a, b): stars that connect what links of at most ``radius`` bits connect among the distinct longs of ``points.fp``."""
     seen = np.array([r[0] for r in points.orderBy(F.xxhash64("fp", F.lit(3)), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, count / shard)))))
+    # Each level of the tree sends a point to about 1.5 shards, so large tables get larger shards rather than more levels.
+    depth = max(0, int(np.ceil(np.log2(max(1, count / max(shard, count // 512))))))
     tree = Tree.build(seen, min(depth, max(0, int(np.log2(max(1, len(seen) / 4))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

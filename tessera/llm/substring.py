@@ -31,8 +31,10 @@ from .common import chunks, text_buffers
 WINDOW = 35
 #: Words of the groups that anchors are chosen from.
 GROUP = 4
-#: Text blocks for each partition of the input.
-BLOCKS_PER_PARTITION = 3
+#: Bytes of input files for a text block, which a worker holds with some ten arrays of eight bytes a word; and the least number of blocks per partition.
+BLOCK_BYTES, BLOCKS_PER_PARTITION = 6 << 20, 3
+#: Reference blocks at most; beyond that they grow with the input.
+BUCKETS = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -242,8 +244,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"a window has {GROUP} words at least")
     # As many partitions as other exchanges have, or the groups below would be dealt out anew.
     partitions = max(1, docs.select(text_col).rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = BLOCKS_PER_PARTITION * partitions
-    buckets = min(blocks, 1 << 14)
+    spark = docs.sparkSession
+    file_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    blocks = max(BLOCKS_PER_PARTITION, -(-file_bytes // BLOCK_BYTES)) * partitions
+    buckets = min(blocks, BUCKETS)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
     # The one exchange of texts; all three passes read it.
