@@ -212,7 +212,7 @@ query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND
 # ---- nested relations: lists are shown as text
 
 query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2", "per_parent_limit")(
-    lambda e: e.repo(CUSTOMER).query().include(Include("orders").order_by(PRICE.desc()).limit(2)).select(F.explode("orders").alias("o")).select("o.o_orderkey", "o.o_custkey")
+    lambda e: e.repo(CUSTOMER).query().include(Include("orders").only("o_orderkey", "o_custkey").order_by(PRICE.desc()).limit(2)).select(F.explode("orders").alias("o")).select("o.o_orderkey", "o.o_custkey")
 )
 
 
@@ -222,7 +222,7 @@ def _listed(c: str, field: str) -> list:
 
 _HAS_MANY = """SELECT o_orderkey, count(l_orderkey) AS n, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity), '') AS listed
                FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey {where} GROUP BY o_orderkey"""
-_ITEMS = Include("items").order_by(LINEITEM.c("l_linenumber").asc(), LINEITEM.c("l_partkey").asc(), LINEITEM.c("l_suppkey").asc(), LINEITEM.c("l_quantity").asc())
+_ITEMS = Include("items").only("l_partkey").order_by(LINEITEM.c("l_linenumber").asc(), LINEITEM.c("l_partkey").asc(), LINEITEM.c("l_suppkey").asc(), LINEITEM.c("l_quantity").asc())
 query(_HAS_MANY.format(where=""), "include_has_many")(lambda e: orders(e).include(_ITEMS).select("o_orderkey", *_listed("items", "l_partkey")))
 query("SELECT o_orderkey, CAST(0 AS BIGINT) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", "include_has_many_empty")(
     lambda e: orders(e).include(Include("items")).where(F.size("items") == 0).select("o_orderkey", F.size("items").cast("long").alias("n"))
@@ -231,9 +231,9 @@ query("""SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey,
          """, "include_has_one")(lambda e: e.repo(CUSTOMER).query().include(Include("latest").order_by(ORDERED.asc(), KEY.asc())).select("c_custkey", F.col("latest.o_orderkey").alias("o_orderkey")))
 query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "include_belongs_to")(lambda e: orders(e).include(Include("customer")).select("o_orderkey", "customer.c_name"))
 query("""SELECT o_orderkey, count(p_partkey) AS n, coalesce(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_name, p_partkey), '') AS listed FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON o_orderkey = l_orderkey
-         LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey""", "include_m2m")(lambda e: orders(e).include(Include("parts").order_by(PART.c("p_name").asc())).select("o_orderkey", *_listed("parts", "p_partkey")))
+         LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey""", "include_m2m")(lambda e: orders(e).include(Include("parts").only("p_partkey").order_by(PART.c("p_name").asc())).select("o_orderkey", *_listed("parts", "p_partkey")))
 query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_items FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey""", "include_nested")(
-    lambda e: e.repo(CUSTOMER).query().include(Include("orders").then(Include("items"))).select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.aggregate("orders", F.lit(0), lambda a, x: a + F.size(x["items"])).cast("long").alias("n_items"))
+    lambda e: e.repo(CUSTOMER).query().include(Include("orders").only("o_orderkey").then(Include("items").only("l_linenumber"))).select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.aggregate("orders", F.lit(0), lambda a, x: a + F.size(x["items"])).cast("long").alias("n_items"))
 )
 query("""SELECT r_name, n_name, count(c_custkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""", "include_two")(
     lambda e: e.repo(NATION).query().include(Include("region"), Include("customers")).select("region.r_name", "n_name", F.size("customers").cast("long").alias("n"))

@@ -31,6 +31,11 @@ class Include:
     per_parent: int | None = None
     scoped: bool = True
     left_out: frozenset[str] = frozenset()
+    fields: tuple[str, ...] | None = None
+
+    def only(self, *fields: str) -> Include:
+        """Nests these columns alone; others that nothing orders or joins by are not even read."""
+        return replace(self, fields=fields)
 
     def then(self, *children: Include) -> Include:
         return replace(self, children=self.children + children)
@@ -84,7 +89,8 @@ def attach(query: Query, parents: DataFrame, spec: ModelSpec, inc: Include) -> D
     rel: RelationSpec = spec.relation(inc.relation)
     target = rel.model()
     child = _child(query, target, inc)
-    row = F.struct(*(F.col(c) for c in child.columns))
+    wanted = child.columns if inc.fields is None else [*inc.fields, *(n.relation for n in inc.children)]
+    row = F.struct(*(F.col(c) for c in wanted))
     order = _keys(query, target, inc.orders)
     name = rel.name
     if rel.kind in ("has_many", "has_one", "many_to_many") and len(spec.key) != 1 or rel.kind in ("belongs_to", "many_to_many") and len(target.key) != 1:
@@ -103,9 +109,11 @@ def attach(query: Query, parents: DataFrame, spec: ModelSpec, inc: Include) -> D
         lists = _gathered(many, rel.key, row, name)
     elif rel.kind == "many_to_many":
         pivot = query.engine.table(rel.pivot).select(F.col(rel.key).alias("_source"), F.col(rel.other_key).alias("_target")).where("_source IS NOT NULL").distinct()
-        to = child.select(F.col(target.key[0]).alias("_key"), row.alias("_row"))
+        ranks = [F.col(o.name).alias(f"_by{i}") for i, o in enumerate(order)]
+        to = child.select(F.col(target.key[0]).alias("_key"), row.alias("_row"), *ranks)
         linked = pivot.join(to, pivot["_target"] == to["_key"])
-        lists = _gathered(_ranked(query, linked, "_source", order, inc.per_parent, lambda n: F.col(f"_row.{n}")), "_source", F.col("_row"), name)
+        by = [replace(o, name=f"_by{i}") for i, o in enumerate(order)]
+        lists = _gathered(_ranked(query, linked, "_source", by, inc.per_parent, F.col), "_source", F.col("_row"), name)
     else:
         raise ValueError(f"{name}: no relation of kind {rel.kind}")
     joined = parents.join(lists, parents[spec.key[0]] == lists["_parent"], "left").drop("_parent")

@@ -200,6 +200,8 @@ def test_includes(library):
     assert [[x["stars"] for x in b["reviews"]] for b in rows[0]["books"]] == [[4, 5], [3]] and rows[1]["books"][1]["reviews"] == []
     assert [r["profile"] and r["profile"]["bio"] for r in rows] == ["new", "bob", None]
     assert [[t["label"] for t in r["tags"]] for r in rows] == [["alpha", "mid", "zeta"], ["mid"], []]
+    slim = a.include(Include("books").only("title").order_by(BOOKS.c("id").desc()).then(Include("reviews").only("stars")))
+    assert slim.schema["books"].dataType.elementType.names == ["title", "reviews"] and [b["title"] for b in slim.first()["books"]] == ["A3", "A2", "A1"]
     every = a.include(Include("books").unscoped()).collect()
     assert [len(r["books"]) for r in every] == [4, 3, 0]
     some = a.include(Include("books").where(BOOKS.c("title").has_prefix("A")).order_by(BOOKS.c("id").desc()), Include("tags").limit(1)).collect()
