@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: A rest is cut further only while its class would waste more than this share of a bin.
 WASTE = 1 / 64
 #: Words, and parts of words, that a worker remembers; after a word longer than the third figure it forgets all.
-CACHE_WORDS, CACHE_PARTS, CACHE_LENGTH = 400_000, 500_000, 1000
+CACHE_WORDS, CACHE_PARTS, CACHE_LENGTH = 300_000, 400_000, 1000
 #: Each space-ended word: lower-case Latin letters and then ASCII punctuation but the apostrophe, or, with both groups empty, anything else.
 _WORDS = re.compile(r"(?:([a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĺļľŀłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]++)([!-&(-/:-@\[-`{-~]*+)|[^ ]*) ")
 
