@@ -249,7 +249,7 @@ def _bands(words: set[str]) -> set[tuple]:
 
 
 def learn(examples: list[tuple[str, int]], s: Settings = Settings()) -> Model:
-    """The lexicon of (text, label) pairs. Near copies of a text count once."""
+    """The lexicon of (text, label) pairs. Near copies of a text count once; only the tokens of a text count, not their order or number."""
     unique: list[tuple[set[str], int, str]] = []
     seen_bands: set[tuple] = set()
     for text, label in examples:
@@ -329,8 +329,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(  # at most settings.sample rows
         labels.join(F.broadcast(sample_ids(labels, id_col, settings.sample)), id_col, "left_semi").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     )
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select(F.col("id").cast("string"), "text", "label").toArrow()
-    rows = sorted(((i, t or "", l) for i, t, l in zip(*(c.to_pylist() for c in got.columns), strict=True)))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select(F.col("id").cast("string").alias("id"), "text", "label")
+
+    def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Learning needs a text's distinct tokens only, and those of a long text are few.
+        for batch in chunks(batches, 1):
+            words = [" ".join(sorted(_token_set(t or ""))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), batch.column(2)], ["id", "words", "label"])
+
+    got = base.mapInArrow(reduce_texts, "id string, words string, label int").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
     return learn([(t, int(l > 0)) for _, t, l in rows[: 2 * settings.sample]], settings)
 
 
