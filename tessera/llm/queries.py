@@ -74,6 +74,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_rlz_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ), starts AS (
+            SELECT doc_id, p, array_to_string(words[p:p + 34], ' ') AS passage FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS p FROM d WHERE len(words) >= 35)
+        ), found AS (
+            SELECT doc_id, p FROM starts WHERE passage IN (SELECT passage FROM starts GROUP BY passage HAVING count(*) > 1)
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM found
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+            FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d) ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+        ), factors AS (
+            SELECT doc_id, min(p) - 1 AS first, max(p) - min(p) + 35 AS n
+            FROM (SELECT doc_id, p, sum(cut) OVER (PARTITION BY doc_id ORDER BY p) AS run
+                  FROM (SELECT doc_id, p, CAST(coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 35, TRUE) AS INTEGER) AS cut FROM found))
+            GROUP BY doc_id, run
+        )
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(first || ':' || n, ',' ORDER BY first) AS spans FROM factors GROUP BY doc_id) USING (doc_id)""",
     "op5_lsm_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
