@@ -27,10 +27,11 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 1 << 16
 #: White space runs beyond this length are not given to the pattern engine, which would run out of stack.
 LONG_SPACE = 4096
-_SPACE_START = re.compile(r"(?<=\S)\s")
-_SPACE_RUN = re.compile(r"\s{%d,}" % LONG_SPACE)
 # Characters that str.isspace and re count as space but the rank file's pattern does not.
 _ODD = "\x1c\x1d\x1e\x1f"
+_SPACE_START = re.compile(r"(?<=\S)\s")
+#: Runs of what the pattern counts as space: the odd controls end a run as any other character does.
+_SPACE_RUN = re.compile(r"[^\S%s]{%d,}" % (_ODD, LONG_SPACE))
 
 
 @lru_cache(maxsize=4)
@@ -78,8 +79,6 @@ def encode(enc: tiktoken.Encoding, text: str, size: int = LONG) -> list[int]:
     for part in safe_parts(text, size):
         at = 0
         for m in _SPACE_RUN.finditer(part):
-            if any(c in m[0] for c in _ODD):
-                continue
             # As the pattern does: all but the last character of the run if something follows, which then
             # takes the last one; the whole run at the end of the text.
             end = m.end() - (m.end() < len(part))

@@ -6,7 +6,6 @@ on a bounded sample of labelled documents, then calibrated by one temperature.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 from .common import chunks, sample_ids
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +54,8 @@ def ngram_counts(text: str, bits: int, orders: tuple[int, ...]) -> tuple[np.ndar
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character has a letter's category: superscripts, fractions and enclosed numbers are none."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -148,7 +147,11 @@ def train_rows(examples: list[tuple[str, np.ndarray, np.ndarray]], s: Settings)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
-    """Fits on at most ``settings.sample`` rows with a language and a letter; their whole texts count."""
+    """Fits on at most ``settings.sample`` ids with a language and a letter; their whole texts count.
+
+    Of several rows of one id that with the least language, then the least n-grams, is learned from; the others
+    are left out before anything reaches the driver.
+    """
     labelled = labelled.where(F.col(lang_col).isNotNull())
     # The ids are bounded by settings.sample, so the join's broadcast side is too.
     chosen = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(
@@ -164,16 +167,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     pa.array([str(i) for i, _, _ in keep], pa.string()),
                     pa.array([l for _, _, l in keep], pa.string()),
                     pa.array([a.astype("<u2" if settings.bits <= 16 else "<u4").tobytes() for a, _ in sparse], pa.binary()),
-                    pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in sparse], pa.binary()),
+                    pa.array([c.astype("<u4").tobytes() for _, c in sparse], pa.binary()),
                 ],
                 ["id", "lang", "at", "counts"],
             )
 
-    got = chosen.select("id", "text", "lang").mapInArrow(features, "id string, lang string, at binary, counts binary").toArrow()
-    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True), key=lambda r: (r[0], r[1], r[2]))[: settings.sample]
+    found = chosen.select("id", "text", "lang").mapInArrow(features, "id string, lang string, at binary, counts binary")
+    got = found.groupBy("id").agg(F.min(F.struct("lang", "at", "counts")).alias("one")).select("id", "one.*").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
     order = np.random.default_rng(3).permutation(len(rows))
     kind = "<u2" if settings.bits <= 16 else "<u4"
-    return train_rows([(rows[i][1], np.frombuffer(rows[i][2], kind).astype(np.int64), np.frombuffer(rows[i][3], "<u2").astype(np.float64)) for i in order], settings)
+    return train_rows([(rows[i][1], np.frombuffer(rows[i][2], kind).astype(np.int64), np.frombuffer(rows[i][3], "<u4").astype(np.float64)) for i in order], settings)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

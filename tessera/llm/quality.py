@@ -142,9 +142,13 @@ def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Forest:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings = Settings()) -> Forest:
-    """Fits on at most ``settings.sample`` labelled ids; rows with a null label do not count."""
+    """Fits on at most ``settings.sample`` labelled ids; rows with a null label do not count.
+
+    An id's label is its largest. Of several documents of one id that with the least statistics is learned from; the
+    others are left out before anything reaches the driver.
+    """
     labels = labels.where(F.col(label_col).isNotNull())
-    # One label per id, the larger if they differ; at most settings.sample rows, so the broadcast side is bounded.
+    # At most settings.sample rows, so the broadcast side is bounded.
     chosen = F.broadcast(
         labels.join(F.broadcast(sample_ids(labels, id_col, settings.sample)), id_col, "left_semi").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     )
@@ -158,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["id", "label", "x"],
             )
 
-    got = base.select("id", "text", "label").mapInArrow(features, "id string, label int, x array<double>").toArrow()
-    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))[: 2 * settings.sample]
+    found = base.select("id", "text", "label").mapInArrow(features, "id string, label int, x array<double>")
+    got = found.groupBy("id").agg(F.max("label").alias("label"), F.min("x").alias("x")).toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
     x = np.array([r[2] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([float(r[1] > 0) for r in rows]), settings)
 

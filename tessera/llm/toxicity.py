@@ -324,7 +324,11 @@ def learn(examples: list[tuple[str, int]], s: Settings = Settings()) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
-    """Learns from at most ``settings.sample`` labelled ids (rows with a null label do not count); their whole texts count."""
+    """Learns from at most ``settings.sample`` labelled ids (rows with a null label do not count); their whole texts count.
+
+    An id's label is its largest. Of several documents of one id that whose distinct tokens sort first is learned
+    from; the others are left out before anything reaches the driver.
+    """
     labels = labels.where(F.col(label_col).isNotNull())
     chosen = F.broadcast(  # at most settings.sample rows
         labels.join(F.broadcast(sample_ids(labels, id_col, settings.sample)), id_col, "left_semi").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -337,9 +341,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words = [" ".join(sorted(_token_set(t or ""))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), batch.column(2)], ["id", "words", "label"])
 
-    got = base.mapInArrow(reduce_texts, "id string, words string, label int").toArrow()
+    found = base.mapInArrow(reduce_texts, "id string, words string, label int")
+    got = found.groupBy("id").agg(F.min("words").alias("words"), F.max("label").alias("label")).toArrow()
     rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
-    return learn([(t, int(l > 0)) for _, t, l in rows[: 2 * settings.sample]], settings)
+    return learn([(t, int(l > 0)) for _, t, l in rows], settings)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

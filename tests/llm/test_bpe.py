@@ -25,11 +25,21 @@ def test_parts_give_the_ids_of_the_whole(enc):
 
 def test_long_white_space(enc, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_SPACE", 8)
-    monkeypatch.setattr(bpe, "_SPACE_RUN", bpe.re.compile(r"\s{8,}"))
-    for text in (" " * 50 + "a", "a" + " " * 50, "a" + " " * 50 + "b", "x\n" + "\n" * 30 + " y", " " * 9, "a" + "\t" * 20 + "1" + " " * 12 + "'s"):
+    monkeypatch.setattr(bpe, "_SPACE_RUN", bpe.re.compile(bpe._SPACE_RUN.pattern.replace("4096", "8")))
+    odd = ("a \x1c" + " " * 50 + "x", " " * 20 + "\x1d" + " " * 20, "a" + " " * 20 + "\x1e\x1f" + "\n" * 20 + "\x1c", "\x1c" * 30 + " " * 30)
+    for text in (*odd, " " * 50 + "a", "a" + " " * 50, "a" + " " * 50 + "b", "x\n" + "\n" * 30 + " y", " " * 9, "a" + "\t" * 20 + "1" + " " * 12 + "'s"):
         assert bpe.encode(enc, text, 10) == enc.encode_ordinary(text)
     many = bpe.encode(enc, "a" + " " * 1_000_000 + "b")
-    assert bpe.decode(bpe.token_bytes(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN), many) == b"a" + b" " * 1_000_000 + b"b"
+    table = bpe.token_bytes(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    assert bpe.decode(table, many) == b"a" + b" " * 1_000_000 + b"b"
+
+
+def test_controls_in_long_white_space(enc):
+    text = "a \x1c" + " " * 3_000_000 + "x"
+    ids = bpe.encode(enc, text)
+    assert bpe.decode(bpe.token_bytes(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN), ids) == text.encode()
+    short = "a \x1c" + " " * 5_000 + "x"
+    assert bpe.encode(enc, short) == enc.encode_ordinary(short)
 
 
 def test_documents(enc, odd_docs):

@@ -34,14 +34,74 @@ def test_language(make_docs, no_docs):
     got = {r.id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
     held = [i for i in range(200, 300)]
     assert np.mean([got[i][0] == names[i % 3] for i in held]) > 0.97
-    odd = make_docs([(1, None), (2, ""), (3, "12 !"), (4, "ka ro"), (4, "ka ro"), (None, "ung")])
+    odd = make_docs([(1, None), (2, ""), (3, "12 !"), (11, "12 ²"), (12, "½ 7"), (13, "① !"), (14, "_ \u0661"), (4, "ka ro"), (4, "ka ro"), (None, "ung")])
     rows = sorted(((r.id, r.lang_pred) for r in langid.identify(odd, model).collect()), key=repr)
-    assert rows == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "xx"), (4, "xx"), (None, "yy")], key=repr)
+    assert rows == sorted([(1, "und"), (2, "und"), (3, "und"), (11, "und"), (12, "und"), (13, "und"), (14, "und"), (4, "xx"), (4, "xx"), (None, "yy")], key=repr)
     assert langid.identify(no_docs, model).count() == 0
     nothing = langid.train(no_docs)
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, nothing).collect()} == {("und", 0.0)}
 
 
+def test_ngrams_against_plain_counts():
+    text = "Ab áb\n ab"
+    at, counts = langid.ngram_counts(text, 14, (1, 2, 3))
+    want = {}
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            h = ord(text.lower()[i]) + n
+            for c in text.lower()[i + 1 : i + n]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            bucket = h * 0x9E3779B97F4A7C15 % 2**64 >> 50
+            want[bucket] = want.get(bucket, 0) + 1
+    assert dict(zip(at.tolist(), counts.tolist())) == want
+    at, counts = langid.ngram_counts("a" * 200_000, 14, (1,))
+    assert counts.tolist() == [200_000.0]
+
+
+def test_ftrl_against_plain_steps():
+    rng = np.random.default_rng(3)
+    s = langid.Settings(bits=4, epochs=2, l1=0.05)
+    rows = [(np.sort(rng.choice(16, 5, replace=False)), rng.random(5)) for _ in range(30)]
+    labels = rng.integers(0, 3, 30)
+    z, n = [[0.0] * 3 for _ in range(16)], [[0.0] * 3 for _ in range(16)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= s.l1:
+            return 0.0
+        return -(z[i][c] - (1 if z[i][c] > 0 else -1) * s.l1) / ((s.beta + n[i][c] ** 0.5) / s.alpha + s.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for r in order.permutation(30).tolist():
+            at, x = rows[r]
+            scores = [sum(weight(i, c) * v for i, v in zip(at, x)) for c in range(3)]
+            total = sum(np.exp(v) for v in scores)
+            before = {(i, c): weight(i, c) for i in at for c in range(3)}
+            for i, v in zip(at, x):
+                for c in range(3):
+                    g = v * (np.exp(scores[c]) / total - (labels[r] == c))
+                    sigma = ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / s.alpha
+                    z[i][c] += g - sigma * before[i, c]
+                    n[i][c] += g * g
+    want = [[weight(i, c) for c in range(3)] for i in range(16)]
+    got = langid.ftrl(rows, labels, 3, s)
+    assert np.allclose(got, want) and (got == 0).any()
+
+
+def test_training_takes_one_row_of_an_id(spark, make_docs):
+    rng = random.Random(9)
+    docs = make_docs([(7, speak(rng, SYLLABLES["xx"]), "xx") for _ in range(500)] + [(8, speak(rng, SYLLABLES["yy"]), "yy")])
+    labels = spark.createDataFrame([(7, 1, 1), (8, 0, 0)], "doc_id long, toxic int, quality int")
+    sizes = []
+    collect = type(docs).toArrow
+    try:
+        type(docs).toArrow = lambda self: sizes.append((t := collect(self)).num_rows) or t
+        langid.train(docs), toxicity.train(docs, labels), quality.train(docs, labels)
+    finally:
+        type(docs).toArrow = collect
+    assert sizes == [2, 2, 2]
+
+
 def test_temperature():
     rng = np.random.default_rng(1)
     labels = rng.integers(0, 3, 4000)
@@ -72,6 +132,27 @@ def test_trees_against_plain_traversal():
     assert np.allclose(forest.margin(x[:50]), [walk(r) for r in x[:50]])
 
 
+def test_first_split_against_all_splits():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, size=(200, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=200) > 6).astype(float)
+    s = quality.Settings(trees=1, depth=1)
+    forest = quality.fit(x, y, s)
+    p = 1 / (1 + np.exp(-forest.base))
+    g, h = p - y, np.full(200, p * (1 - p))
+    best = (0.0, None, None)
+    for j in range(3):
+        for t in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= t
+            if h[left].sum() >= s.least_weight and h[~left].sum() >= s.least_weight:
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + s.l2) for m in (left, ~left))
+                best = max(best, (gain, j, t), key=lambda b: b[0])
+    assert forest.feature[0, 0] == best[1]
+    left = x[:, best[1]] <= best[2]
+    assert np.array_equal(x[:, best[1]] <= forest.threshold[0, 0], left)
+    assert np.allclose(forest.value[0, 1:3], [-s.rate * g[m].sum() / (h[m].sum() + s.l2) for m in (left, ~left)])
+
+
 def test_quality(spark, make_docs, odd_docs, no_docs):
     rng = random.Random(4)
     rows = [(i, speak(rng, SYLLABLES["xx"]) if i % 4 else "buy!! now!! " * rng.randint(5, 40)) for i in range(400)]
