@@ -54,6 +54,11 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name that Spark takes as it is, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is bytes[offsets[i]:offsets[i + 1]]."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,25 +30,73 @@ def test_exact_copies(make_docs, largest):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(map(best, groups.values()))
 
 
-def test_many_runs(make_docs, monkeypatch):
-    monkeypatch.setattr(exactdup, "MEMTABLE_BYTES", 500)  # the workers read it from here only where they share the process
-    table = exactdup.Memtable(largest=True)
+def test_runs_merge_in_tiers():
+    rng = random.Random(3)
+    table, runs, want = exactdup.DigestTable(ranges=4), defaultdict(list), Counter()
+    for _ in range(40):
+        digests = [hashlib.sha256(bytes([rng.randrange(200)])).digest() for _ in range(100)]
+        want.update(digests)
+        table.put(digests)
+        for r, keys, n in table.flush():
+            assert keys == sorted(keys) and {int(4 * int.from_bytes(k[:4]) >> 32) for k in keys} == {r}
+            runs[r].append(list(zip(keys, n)))
+        assert not table.rows  # a task keeps nothing of a run
+    merged = [exactdup.merge_runs(runs[r], fan_in=3) for r in range(4)]
+    assert [x for m in merged for x in m] == sorted(want.items())
+
+
+def test_text_table_compares_bytes():
+    table = exactdup.TextTable(largest=True)
     for i in range(10):
-        table.put(bytes([i % 4]) * 32, i, b"x" * (i % 4))
-        if i == 4:
-            assert [r[:4] for r in table.flush()] == [(b"\0" * 32, 4, 1, 2), (b"\1" * 32, 1, 1, 1), (b"\2" * 32, 2, 1, 1), (b"\3" * 32, 3, 1, 1)]
-    run = table.flush()
-    assert [r[1] for r in run] == [8, 9, 6, 7] and all(r[5] for r in run)  # all were in the first run
-    with pytest.raises(exactdup.CollisionError):
-        table.put(b"\0" * 32, 1, b"a")
-        table.put(b"\0" * 32, 2, b"b")
+        table.put(bytes([i % 4 // 2]) * 32, b"x" * (i % 4), i)
+    assert table.flush() == [(b"\0" * 32, b"", 8, 1, 3), (b"\0" * 32, b"x", 9, 1, 3), (b"\1" * 32, b"xx", 6, 1, 2), (b"\1" * 32, b"xxx", 7, 1, 2)]
+    assert table.size == 0 == len(table.rows)
 
 
 def test_filter_misses_nothing():
-    digests = [hashlib.sha256(bytes([i, j])).digest() for i in range(40) for j in range(40)]
-    f = exactdup.BloomFilter(digests[:800])
-    assert all(map(f.may_hold, digests[:800]))
-    assert sum(map(f.may_hold, digests[800:])) < 80
+    digests = exactdup.digest_words(hashlib.sha256(bytes([i, j])).digest() for i in range(40) for j in range(40))
+    f = exactdup.BloomFilter(800 * exactdup.FILTER_BITS)
+    f.add(digests[:800])
+    f = exactdup.BloomFilter(f.n, f.packed())
+    assert f.may_hold(digests[:800]).all() and f.may_hold(digests[800:]).sum() < 80
+
+
+def test_filters_decide_what_is_sent(make_docs, monkeypatch):
+    rows = [(i, f"single {i}") for i in range(3000)] + [(5000 + i, f"double {i % 100}") for i in range(200)] + [(6000 + i, "hot") for i in range(1500)]
+    base = exactdup._with_digest(make_docs(rows), "doc_id", "text", None, exactdup.sha256)
+    sent = exactdup.look_up(base, 3).collect()
+    texts = Counter(bytes(r.text) for r in sent)
+    assert {t for t in texts if not t.startswith(b"single")} == {b"hot", *(b"double %d" % i for i in range(100))}
+    assert sum(n for t, n in texts.items() if t.startswith(b"single")) < 150  # of 3000: the filters said no
+    assert texts[b"hot"] <= 4 and sum(r.n for r in sent if r.text == b"hot") == 1500
+    monkeypatch.setattr(exactdup, "FILTER_BYTES", 24)  # full filters send more, and nothing is lost
+    more = exactdup.look_up(base, 3)
+    assert more.count() > 1000
+    assert exactdup.verified(more).count() == 101
+
+
+@pytest.mark.parametrize("largest", [False, True])
+def test_texts_that_share_a_digest(make_docs, largest):
+    one_byte = lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2))
+    rows = [(i, f"text {i % 400}") for i in range(700)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    best = max if largest else min
+    got = {r.id: r for r in exactdup.mark(make_docs(rows), largest=largest, digest=one_byte).collect()}
+    assert len(got) == 700
+    for i, t in rows:
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (best(groups[t]), len(groups[t]), best(groups[t]) == i)
+    kept = exactdup.drop_duplicates(make_docs(rows), largest=largest, digest=one_byte)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(map(best, groups.values()))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (3, "b", "z", 3)], "doc_id long, text string, `a.b` string, group_size int")
+    kept = exactdup.drop_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
+    marked = exactdup.mark(docs, keep=("group_size", "a.b"))
+    assert {(r.id, r.group_size, tuple(r.kept_columns)) for r in marked.collect()} == {(1, 2, (1, "x")), (2, 2, (2, "y")), (3, 1, (3, "z"))}
 
 
 def test_odd_rows(odd_docs, no_docs):
