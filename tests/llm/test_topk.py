@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import topk
@@ -37,3 +38,63 @@ def test_odd_vectors(spark):
     assert got == want
     none = df.limit(0)
     assert topk.search(none, none).count() == 0 == topk.search(df, none).count()
+
+
+def test_wide_and_ragged_vectors(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.choice([0, 4, 7]) for _ in range(rng.choice([3, 5]))]) for i in range(200)]
+    rows += [(300 + i, [1e308, -1e308, 1e200][: 3 - i % 2]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = [(i, v) for i, v in rows if i < 300]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df.where("vec_id < 300"), df.where("vec_id % 20 = 0 AND vec_id < 300"), block=40).collect())
+    assert got == brute(exact, set(range(0, 200, 20)), 5)
+    largest = topk.search(df, df.where("vec_id >= 300"), k=1).collect()
+    assert {(r.query_id, r.score) for r in largest if r.query_id in (300, 302)} == {(300, 2**63 - 1), (302, 2**63 - 1)}
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.25])] * 700 + [(2, [0.5, 0.25]), (0, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = topk.search(df, df.where("vec_id = 0"), block=100).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(i, 1, 49152) for i in range(1, 6)]
+
+
+def plain(block, q, i, k):
+    s = block.vectors @ q
+    rows = [j for j in np.lexsort((block.ids, -s)) if block.ids[j] != i][:k]
+    return [(i, int(block.ids[j]), int(s[j])) for j in rows]
+
+
+def test_reading_stops_and_few_are_resolved():
+    rng = np.random.default_rng(2)
+    skewed = np.floor(256 * rng.normal(size=(4000, 32)) * np.exp(-np.arange(32) / 3))
+    block = topk.Block(np.arange(4000), skewed)
+    queries, ids = skewed[:60], np.arange(60)
+    reads = topk.Reads()
+    got = block.top(queries, ids, 5, [None] * 60, reads)
+    want = [x for q, i in zip(queries, ids.tolist()) for x in plain(block, q, i, 5)]
+    assert got == want
+    assert reads.resolved < 0.05 * reads.vectors and reads.entries < 0.6 * reads.vectors * 32
+    floors = [want[5 * j + 4][2] for j in range(60)]
+    again = topk.Reads()
+    assert block.top(queries, ids, 5, floors, again) == want and again.entries < reads.entries
+    none = topk.Reads()
+    assert block.top(queries, ids, 5, [10**9] * 60, none) == [] and none.entries == 0 == none.resolved
+
+
+def test_clusters_under_the_floor_are_not_visited():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16))
+    vectors = [centres[i % 8] + 0.05 * rng.normal(size=16) for i in range(1600)]
+    plan = topk.Map(list(vectors[:8]), 256, 1600, 100)
+    own = plan.nearest(vectors)
+    plan.clusters = plan.summaries(vectors, own)
+    whole = np.floor(256 * np.array(vectors))
+    seen = 0
+    for i in range(0, 1600, 40):
+        floor = int(np.sort(np.delete(whole @ whole[i], i))[-5])
+        blocks = plan.visits(vectors[i], plan.home(int(own[i]), i), floor)
+        assert len(set(blocks)) == len(blocks) and plan.home(int(own[i]), i) not in blocks
+        for j in np.flatnonzero(whole @ whole[i] >= floor):
+            assert {b >> 32 for b in blocks} | {int(own[i])} >= {int(own[j])}
+        seen += len(blocks)
+    assert seen < 0.3 * 40 * sum(plan.parts(c) for c in plan.clusters)
