@@ -1,19 +1,21 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-Documents are dealt into text blocks. Passages of all blocks are indexed in
-reference blocks: a passage lies in the reference block of its anchor, which is
-the least of the hashed word groups inside a window, so equal windows always meet
-in one reference block. A document is factored greedily against every reference
-block that one of its anchors points to: where the window at a word has a source
-elsewhere, the factor runs on word by word while the following windows have
-sources too. Windows are looked up at each word, so those across a factor's
-boundary are checked as well. Factors are at least one window long and are the
-duplicate spans.
-
-Two exchanges of short hashes do this: anchors first, then the windows of the
-anchors that occur more than once. A text block sends each distinct hash once,
-so a passage that is in a third of all documents is one entry per block. Answers
-come back as one bit for each hash sent, in hash order.
+Documents are dealt into text blocks. A window's anchor is the least of the
+hashed word groups in it, so equal windows have equal anchors. Text blocks first
+exchange their anchors and learn which occur more than once. Successive windows
+with one such anchor are a passage; its words go to the reference block that
+holds all passages of the anchor. There every passage is factored greedily
+against the words of all others in the block, and of itself at other places:
+from a word whose window has a source, a factor is extended word by word, and
+the parse goes on at the factor's boundary, one window back, so windows across
+it are looked up too. A factor counts when its words equal those of its source.
+The windows in factors come back to the text blocks, which join factors of
+neighbouring passages into duplicate spans.
+
+A text block sends each distinct passage once, so one that is in a third of all
+documents is one entry per text block. An anchor that more than HOT_BLOCKS text
+blocks have is not gathered in one place: its windows are dealt out by a hash
+and compared by that and another, 128 bits together.
 """
 
 from __future__ import annotations
@@ -23,18 +25,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, text_buffers
 
 WINDOW = 35
-#: Words of the groups that anchors are chosen from.
-GROUP = 4
+#: A window's share that the word groups have from which anchors are chosen: long groups seldom occur in several places by chance.
+GROUP_SHARE = 3
+#: Text blocks that may hold an anchor before its windows are dealt out: this bounds the passages of one anchor.
+HOT_BLOCKS = 64
 #: Bytes of input files for a text block, which a worker holds with some ten arrays of eight bytes a word; and the least number of blocks per partition.
 BLOCK_BYTES, BLOCKS_PER_PARTITION = 6 << 20, 3
-#: Reference blocks at most; beyond that they grow with the input.
-BUCKETS = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -105,11 +108,11 @@ def sliding(values: np.ndarray, n: int, best) -> np.ndarray:
 
 
 class TextBlock:
-    """Anchors and windows of one block of documents."""
+    """Words, anchors and windows of one block of documents."""
 
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, window: int, group: int) -> None:
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, window: int) -> None:
         hashes, counts = [], []
-        pieces = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
+        self.texts = pieces = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
         for piece in pieces:
             for batch in chunks(iter([pa.RecordBatch.from_arrays([piece], ["text"])]), 0, 1 << 20):
                 h, before = word_hashes(*text_buffers(batch.column(0)))
@@ -118,7 +121,7 @@ class TextBlock:
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
-        self.window, self.total = window, len(words)
+        self.window, self.group, self.total = window, max(1, window // GROUP_SHARE), len(words)
         starts = max(len(words) - window + 1, 0)
         document = np.repeat(np.arange(len(self.counts)), self.counts)
         self.valid = document[:starts] == document[len(words) - starts :] if starts else np.zeros(0, bool)
@@ -126,8 +129,8 @@ class TextBlock:
             self.anchor = self.windows = self.anchors = np.zeros(0, np.uint64)
             self.repeated = np.zeros(0, bool)
             return
-        grouped = rolled(words, group)
-        span = window - group + 1
+        grouped = rolled(words, self.group)
+        span = window - self.group + 1
         self.anchor = sliding(grouped, span, np.minimum)
         # A group is an anchor where it is the least of some window: where the largest minimum around it is its own.
         low = np.where(self.valid, self.anchor, np.uint64(0))
@@ -136,23 +139,36 @@ class TextBlock:
         self.repeated = n > 1
         self.words = words
 
-    def candidates(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows with an anchor in ``common`` (sorted): anchor, window and repeated of the distinct ones, sorted; starts, and each start's row."""
+    def runs(self, common: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of windows with a hot anchor, (first window, windows) of the passages of the other common ones); both sets sorted, ``hot`` within ``common``."""
         if not len(self.anchor) or not len(common):
-            e = np.zeros(0, np.uint64)
-            return e, e, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.searchsorted(common, self.anchor)
-        at[at == len(common)] = 0
-        starts = np.flatnonzero(self.valid & (common[at] == self.anchor))
-        anchor, window = self.anchor[starts], rolled(self.words, self.window)[starts]
-        order = np.lexsort((window, anchor))
-        a, w = anchor[order], window[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-        first = np.flatnonzero(new)
-        rows = np.empty(len(order), np.int64)
-        rows[order] = np.cumsum(new) - 1
-        return a[first], w[first], np.diff(np.append(first, len(order))) > 1, starts, rows
+            return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        is_hot = self.valid & among(self.anchor, hot)
+        warm = np.flatnonzero(self.valid & among(self.anchor, common) & ~is_hot)
+        if not len(warm):
+            return np.flatnonzero(is_hot), np.zeros((0, 2), np.int64)
+        new = np.ones(len(warm), bool)
+        new[1:] = (np.diff(warm) > 1) | (self.anchor[warm[1:]] != self.anchor[warm[:-1]])
+        # A run that is longer than an anchor's reach repeats the anchor; it is cut, as windows are what has to meet.
+        at = np.flatnonzero(new)
+        place = np.arange(len(warm)) - np.repeat(at, np.diff(np.append(at, len(warm))))
+        firsts = np.flatnonzero(place % (self.window - self.group + 1) == 0)
+        return np.flatnonzero(is_hot), np.stack((warm[firsts], np.diff(np.append(firsts, len(warm)))), 1)
+
+    def passages(self, runs: np.ndarray) -> list[bytes]:
+        """The words of each run of windows, joined by spaces; runs are in ascending order."""
+        out = []
+        bounds = np.searchsorted(runs[:, 0], self.offsets).tolist()
+        document = 0
+        for piece in self.texts:
+            for text in piece:
+                lo, hi = bounds[document], bounds[document + 1]
+                if lo < hi:
+                    words = (text.as_py() or "").encode().split()
+                    base = self.offsets[document]
+                    out += [b" ".join(words[a - base : a - base + n + self.window - 1]) for a, n in runs[lo:hi].tolist()]
+                document += 1
+        return out
 
     def factors(self, starts: np.ndarray) -> np.ndarray:
         """(first word, words) of the greedy factors, given all windows that have a source elsewhere, ascending."""
@@ -169,31 +185,24 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def payloads(kind: int, block: int, buckets: int, anchors: np.ndarray, windows: np.ndarray | None, repeated: np.ndarray) -> list[tuple]:
-    """One row for each reference block that some anchor is in."""
-    bounds = np.searchsorted(bucket_of(anchors, buckets), np.arange(buckets + 1))
-    out = []
-    for b in np.flatnonzero(np.diff(bounds)).tolist():
-        part = slice(bounds[b], bounds[b + 1])
-        if windows is None:
-            body = anchors[part].tobytes()
-        else:
-            names, n = np.unique(anchors[part], return_counts=True)
-            body = len(names).to_bytes(8, "little") + names.tobytes() + n.astype("<u4").tobytes() + windows[part].tobytes()
-        out.append((b, block, kind, body, np.packbits(repeated[part]).tobytes()))
-    return out
+def shares(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(reference block, first, end) of the ascending hashes that lie in each."""
+    owner = bucket_of(hashes, buckets)
+    firsts = np.flatnonzero(np.diff(owner, prepend=-1))
+    return list(zip(owner[firsts].tolist(), firsts.tolist(), np.append(firsts[1:], len(owner)).tolist()))
 
 
-def unpack(kind: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(anchors, windows) of a payload; for anchors alone both are the same."""
-    if kind == 0:
-        anchors = np.frombuffer(body, "<u8")
-        return anchors, anchors
-    m = int.from_bytes(body[:8], "little")
-    names, n = np.frombuffer(body, "<u8", m, 8), np.frombuffer(body, "<u4", m, 8 + 8 * m)
-    return np.repeat(names, n), np.frombuffer(body, "<u8", int(n.sum()), 8 + 12 * m)
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(some, values)
+    at[at == len(some)] = 0
+    return some[at] == values
 
 
+#: Kinds of what text blocks send: anchors, windows of hot anchors, and passages of the others.
+ANCHORS, HOT, PASSAGES = 0, 1, 2
 SENT = "bucket int, block int, kind int, body binary, flags binary"
 
 
@@ -202,36 +211,217 @@ def sent_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("bucket", "block", "kind", "body", "flags"), kinds, strict=True))})
 
 
-def look_up(table: pa.Table) -> pa.Table:
-    """A reference block: answers each payload with a bit for each hash, set if the hash has another source."""
+def hash_payloads(kind: int, block: int, buckets: int, names: list[np.ndarray], repeated: np.ndarray) -> list[tuple]:
+    """One row for each reference block that a hash is in: arrays of hashes, in the order of the first, and whether each occurs again here."""
+    return [(b, block, kind, b"".join(x[lo:hi].tobytes() for x in names), np.packbits(repeated[lo:hi]).tobytes()) for b, lo, hi in shares(names[0], buckets)]
+
+
+def passage_payloads(block: int, buckets: int, anchors: np.ndarray, passages: list[bytes], repeated: np.ndarray) -> list[tuple]:
+    """One row for each reference block: its passages, in the order of their anchors, and whether each occurs again here."""
+    return [(b, block, PASSAGES, b"\n".join(passages[lo:hi]), np.packbits(repeated[lo:hi]).tobytes()) for b, lo, hi in shares(anchors, buckets)]
+
+
+def look_up_hashes(rows: list[dict], kind: int, hot_blocks: int = HOT_BLOCKS) -> list[tuple]:
+    """Answers each payload with a bit for each hash, set if it has another source, and, of anchors, another, set if it is hot."""
+    width = 2 if kind == HOT else 1
+    parts = [np.frombuffer(r["body"], "<u8").reshape(width, -1) for r in rows]
+    sizes = [p.shape[1] for p in parts]
+    names = np.concatenate(parts, axis=1)
+    several = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
+    order = np.lexsort(names[::-1])
+    sorted_ = names[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0)
+    firsts = np.flatnonzero(new)
+    holders = np.repeat(np.diff(np.append(firsts, len(order))), np.diff(np.append(firsts, len(order))))  # text blocks that have it
+    several[order] |= holders > 1
+    hot = np.zeros(len(order), bool)
+    hot[order] = holders > hot_blocks
+    ends = np.cumsum(sizes).tolist()
+    return [
+        (r["bucket"], r["block"], kind, np.packbits(several[e - n : e]).tobytes(), np.packbits(hot[e - n : e]).tobytes() if kind == ANCHORS else b"")
+        for r, n, e in zip(rows, sizes, ends, strict=True)
+    ]
+
+
+def factor(passages: list[bytes], repeated: list[bool], window: int, intern: bool = False) -> list[list[tuple[int, int, int, int]]]:
+    """Greedy factors of each passage relative to all of them: (first word, words, source passage, its first word), of ``window`` words at least.
+
+    The passages are different. A ``repeated`` one has a copy elsewhere and is one factor, its own source there. Word
+    by word comparison is of hashes first; then the bytes of every factor are compared with its source's, and should
+    they differ, all words are told apart by a dictionary instead (``intern``).
+    """
+    if intern:
+        numbers: dict[bytes, int] = {}
+        split = [p.split() for p in passages]
+        words = np.array([numbers.setdefault(w, len(numbers)) for s in split for w in s], np.uint64)
+        before = np.concatenate(([0], np.cumsum([len(s) for s in split])))
+    else:
+        sizes = np.array([len(p) for p in passages], np.int64)
+        words, before = word_hashes(np.frombuffer(b"".join(passages), np.uint8), np.concatenate(([0], np.cumsum(sizes))))
+    owner = np.repeat(np.arange(len(passages)), np.diff(before))
+    starts = max(len(words) - window + 1, 0)
+    valid = np.flatnonzero(owner[:starts] == owner[len(words) - starts :]) if starts else np.zeros(0, np.int64)
+    hashes = rolled(words, window)[valid]
+    # The index: equal windows stand together in text order, and each has the next one, the last the first, as its source.
+    order = np.argsort(hashes, kind="stable")
+    sorted_ = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    following = np.arange(1, len(order) + 1)
+    following[first + size - 1] = first
+    source = np.full(starts, -1, np.int64)
+    source[valid[order]] = np.where(np.repeat(size, size) > 1, valid[order[following]], -1) if len(order) else 0
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in passages]
+    # How far a factor that begins at a word reaches: while the words after the window go on to equal the source's.
+    for k in np.unique(owner[:starts][source >= 0]).tolist():
+        if repeated[k]:
+            continue
+        lo, hi = int(before[k]), int(before[k + 1])
+        at = lo
+        while at + window <= hi:
+            s = int(source[at])
+            if s < 0:
+                at += 1
+                continue
+            most = min(hi - at, int(before[owner[s] + 1]) - s)
+            differ = np.flatnonzero(words[at : at + most] != words[s : s + most])
+            n = int(differ[0]) if len(differ) else most
+            j = int(owner[s])
+            if n < window or (not intern and passages[k].split()[at - lo : at - lo + n] != passages[j].split()[s - int(before[j]) : s - int(before[j]) + n]):
+                if intern:  # a window's hash misled: its words tell
+                    s = _source(words, owner, before, valid, hashes, at, window)
+                    if s < 0:
+                        at += 1
+                        continue
+                    n, j = window, int(owner[s])
+                else:
+                    return factor(passages, repeated, window, intern=True)
+            out[k].append((at - lo, n, j, s - int(before[j])))
+            at += n - window + 1
+    for k in np.flatnonzero(repeated).tolist():
+        out[k] = [(0, int(before[k + 1] - before[k]), k, 0)]
+    return out
+
+
+def _source(words: np.ndarray, owner: np.ndarray, before: np.ndarray, valid: np.ndarray, hashes: np.ndarray, at: int, window: int) -> int:
+    """A place other than ``at`` with the same ``window`` words, or -1."""
+    mine = hashes[np.searchsorted(valid, at)]
+    for s in valid[hashes == mine].tolist():
+        if s != at and (words[s : s + window] == words[at : at + window]).all():
+            return s
+    return -1
+
+
+def parse(rows: list[dict], window: int) -> list[tuple]:
+    """A reference block: factors its passages and answers each payload with a bit for each window of its passages, set in factors."""
+    numbers: dict[bytes, int] = {}
+    sent = []
+    several: list[bool] = []
+    for r in rows:
+        passages = r["body"].split(b"\n")
+        flags = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(passages)).tolist()
+        mine = []
+        for p, again in zip(passages, flags, strict=True):
+            k = numbers.setdefault(p, len(numbers))
+            if k == len(several):
+                several.append(bool(again))
+            else:
+                several[k] = True
+            mine.append(k)
+        sent.append(mine)
+    passages = list(numbers)
+    bits = []
+    for p, found in zip(passages, factor(passages, several, window), strict=True):
+        covered = np.zeros(p.count(b" ") + 2 - window, bool)
+        for a, n, _, _ in found:
+            covered[a : a + n - window + 1] = True
+        bits.append(covered)
+    return [(r["bucket"], r["block"], PASSAGES, np.packbits(np.concatenate([bits[k] for k in mine])).tobytes(), b"") for r, mine in zip(rows, sent, strict=True)]
+
+
+def refer(table: pa.Table, window: int, hot_blocks: int = HOT_BLOCKS) -> pa.Table:
+    """What a reference block answers, whatever kinds it was sent."""
     rows = table.select(["bucket", "block", "kind", "body", "flags"]).to_pylist()
-    parts = [unpack(r["kind"], r["body"]) for r in rows]
-    sizes = np.array([len(w) for _, w in parts])
-    anchors, windows = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    several = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=n) for r, n in zip(rows, sizes.tolist(), strict=True)]).astype(bool)
-    order = np.lexsort((windows, anchors)) if rows[0]["kind"] else np.argsort(windows, kind="stable")
-    a, w = anchors[order], windows[order]
-    same = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
-    found = np.zeros(len(order), bool)
-    found[1:] |= same
-    found[:-1] |= same
-    answer = several
-    answer[order] |= found
-    ends = np.cumsum(sizes)
-    return sent_table([(r["bucket"], r["block"], r["kind"], np.packbits(answer[e - n : e]).tobytes(), b"") for r, n, e in zip(rows, sizes.tolist(), ends.tolist(), strict=True)])
-
-
-def answered(answers: pa.Table, kind: int, anchors: np.ndarray, buckets: int) -> np.ndarray:
-    """The bits that came back for hashes sorted by anchor, in that order."""
-    rows = sorted((r["bucket"], r["body"]) for r in answers.to_pylist() if r["kind"] == kind)
-    bounds = np.searchsorted(bucket_of(anchors, buckets), np.arange(buckets + 1))
-    out = np.zeros(len(anchors), bool)
-    for b, body in rows:
-        out[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(bounds[b + 1] - bounds[b])).astype(bool)
+    out = []
+    for kind in sorted({r["kind"] for r in rows}):
+        mine = [r for r in rows if r["kind"] == kind]
+        out += parse(mine, window) if kind == PASSAGES else look_up_hashes(mine, kind, hot_blocks)
+    return sent_table(out)
+
+
+def answered(answers: pa.Table, kind: int, owners: np.ndarray, buckets: int, sizes: np.ndarray | None = None, column: str = "body") -> np.ndarray:
+    """The bits that came back for what was sent in the order of ``owners`` (hashes), each for one bit or for ``sizes`` bits."""
+    mine = answers.filter(pc.equal(answers.column("kind"), kind))
+    got = dict(zip(mine.column("bucket").to_pylist(), mine.column(column).to_pylist(), strict=True))
+    ends = np.concatenate(([0], np.cumsum(sizes if sizes is not None else np.ones(len(owners), np.int64))))
+    out = np.zeros(int(ends[-1]), bool)
+    for b, first, end in shares(owners, buckets):
+        lo, hi = int(ends[first]), int(ends[end])
+        out[lo:hi] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=hi - lo).astype(bool)
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
+class Sent:
+    """What a text block sends once it knows its common and hot anchors, and how to read the answers. Both depend on the block alone."""
+
+    def __init__(self, block: TextBlock, answers: pa.Table, buckets: int) -> None:
+        self.block, self.buckets = block, buckets
+        common, hot = (answered(answers, ANCHORS, block.anchors, buckets, column=c) for c in ("body", "flags"))
+        self.hot, runs = block.runs(block.anchors[common], block.anchors[common & hot])
+        names = [h[self.hot] for h in (rolled(block.words, block.window), rolled(mix(block.words ^ _BASE), block.window))] if len(self.hot) else [np.zeros(0, np.uint64)] * 2
+        order = np.lexsort(names[::-1])
+        self.windows, self.row = distinct([x[order] for x in names], order)
+        # Passages in the order of their anchors; of equal ones the first is sent.
+        passages = block.passages(runs)
+        anchor = block.anchor[runs[:, 0]] if len(runs) else np.zeros(0, np.uint64)
+        order = np.argsort(anchor, kind="stable")
+        self.runs = runs[order]
+        first: dict[bytes, int] = {}
+        self.copy = np.zeros(len(runs), np.int64)
+        self.again: list[bool] = []
+        kept = []
+        for place, i in enumerate(order.tolist()):
+            k = first.setdefault(passages[i], len(first))
+            if k == len(kept):
+                kept.append(i)
+                self.again.append(False)
+            else:
+                self.again[k] = True
+            self.copy[place] = k
+        self.passages, self.anchors = [passages[i] for i in kept], anchor[kept]
+        self.sizes = runs[kept, 1] if kept else np.zeros(0, np.int64)
+
+    def payloads(self, number: int) -> list[tuple]:
+        repeated = np.bincount(self.row, minlength=len(self.windows[0])) > 1
+        return hash_payloads(HOT, number, self.buckets, self.windows, repeated) + passage_payloads(number, self.buckets, self.anchors, self.passages, np.array(self.again, bool))
+
+    def found(self, answers: pa.Table) -> np.ndarray:
+        """The windows that have a source elsewhere, ascending."""
+        hot = self.hot[answered(answers, HOT, self.windows[0], self.buckets)[self.row]] if len(self.hot) else self.hot
+        bits = answered(answers, PASSAGES, self.anchors, self.buckets, self.sizes)
+        base = np.concatenate(([0], np.cumsum(self.sizes)))
+        # Every run, copies too, takes the bits of the passage that was sent for it.
+        counts = self.runs[:, 1]
+        inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        mine = bits[np.repeat(base[self.copy], counts) + inside] if len(counts) else np.zeros(0, bool)
+        return np.sort(np.concatenate((hot, (np.repeat(self.runs[:, 0], counts) + inside)[mine])))
+
+
+def distinct(columns: list[np.ndarray], order: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of sorted columns, and for each place in the order before sorting its row."""
+    if not len(order):
+        return columns, np.zeros(0, np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(new) - 1
+    return [c[new] for c in columns], row
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256, spans ("word:words" of its factors, comma-joined), and kept_text.
 
     Words are runs of characters other than the six ASCII spaces, unchanged. A
@@ -240,39 +430,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     window and lose nothing; of repeated rows each is the other's source, so all
     their windows go. kept_text is the kept words joined by one space.
     """
-    if window < GROUP:
-        raise ValueError(f"a window has {GROUP} words at least")
+    if window < 1:
+        raise ValueError("a window has a word at least")
     # As many partitions as other exchanges have, or the groups below would be dealt out anew.
     partitions = max(1, docs.select(text_col).rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spark = docs.sparkSession
     file_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     blocks = max(BLOCKS_PER_PARTITION, -(-file_bytes // BLOCK_BYTES)) * partitions
-    buckets = min(blocks, BUCKETS)
+    buckets = blocks
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
     # The one exchange of texts; all three passes read it.
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(partitions, "block")
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        block = TextBlock(table.column("text"), window, GROUP)
-        return sent_table(payloads(0, table.column("block")[0].as_py(), buckets, block.anchors, None, block.repeated))
-
-    def common_anchors(block: TextBlock, answers: pa.Table) -> np.ndarray:
-        return block.anchors[answered(answers, 0, block.anchors, buckets)]
+        block = TextBlock(table.column("text"), window)
+        return sent_table(hash_payloads(ANCHORS, table.column("block")[0].as_py(), buckets, [block.anchors], block.repeated))
 
-    def send_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def send_passages(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent_table([])
-        block = TextBlock(table.column("text"), window, GROUP)
-        anchors, windows, repeated, _, _ = block.candidates(common_anchors(block, answers))
-        return sent_table(payloads(1, table.column("block")[0].as_py(), buckets, anchors, windows, repeated))
+        block = TextBlock(table.column("text"), window)
+        return sent_table(Sent(block, answers, buckets).payloads(table.column("block")[0].as_py()))
 
-    def factor(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return finished([], pa.array([], table.schema.field("id").type))
-        block = TextBlock(table.column("text"), window, GROUP)
-        anchors, _, _, starts, rows = block.candidates(common_anchors(block, answers))
-        found = block.factors(starts[answered(answers, 1, anchors, buckets)[rows]])
+        block = TextBlock(table.column("text"), window)
+        found = block.factors(Sent(block, answers, buckets).found(answers))
         cover = np.zeros(block.total + 1, np.int64)
         np.add.at(cover, found[:, 0], 1)
         np.add.at(cover, found[:, 0] + found[:, 1], -1)
@@ -299,7 +484,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns["kept_text"] = pa.array([r[4].decode() for r in rows], pa.string())
         return pa.table(columns)
 
-    anchors = dealt.groupBy("block").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(look_up, SENT)
-    windows = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_windows, SENT).groupBy("bucket").applyInArrow(look_up, SENT)
+    def reference(table: pa.Table) -> pa.Table:
+        return refer(table, window, hot_blocks)
+
+    anchors = dealt.groupBy("block").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(reference, SENT)
+    passages = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_passages, SENT).groupBy("bucket").applyInArrow(reference, SENT)
     schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string, spans string" + (", kept_text string" if with_text else "")
-    return dealt.groupBy("block").cogroup(anchors.union(windows).groupBy("block")).applyInArrow(factor, schema)
+    return dealt.groupBy("block").cogroup(anchors.union(passages).groupBy("block")).applyInArrow(remove, schema)

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -236,11 +237,11 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window,vocabulary", [(35, 300), (6, 4), (4, 2)])
-def test_shared_passages(make_docs, window, vocabulary):
+@pytest.mark.parametrize("window,vocabulary,hot", [(35, 300, 64), (35, 300, 2), (6, 4, 64), (4, 2, 1), (1, 40, 64)])
+def test_shared_passages(make_docs, window, vocabulary, hot):
     rng = random.Random(window)
     word = lambda: f"w{rng.randrange(vocabulary)}"
-    passages = [[word() for _ in range(n)] for n in (window - 1, window, window + 1, 3 * window)]
+    passages = [[word() for _ in range(n)] for n in (max(window - 1, 1), window, window + 1, 3 * window)]
     texts = []
     for i in range(60):
         words = []
@@ -249,7 +250,7 @@ def test_shared_passages(make_docs, window, vocabulary):
             words += rng.choice(passages) if rng.random() < 0.7 else []
         texts.append(rng.choice([" ", "  ", "\n", "\t "]).join(words))
     texts += [None, "", " ", texts[5], "é " * 3 * window, "x" * 5000 + " y " * window]
-    rows = {r.id: r for r in substring.remove_repeats(make_docs(list(enumerate(texts))), window=window).collect()}
+    rows = {r.id: r for r in substring.remove_repeats(make_docs(list(enumerate(texts))), window=window, hot_blocks=hot).collect()}
     want = brute_repeats(texts, window)
     assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(len(texts))] == want
     for i, r in rows.items():
@@ -262,6 +263,56 @@ def test_shared_passages(make_docs, window, vocabulary):
         assert len(covered) == r.n_removed
 
 
+def plain_factors(passages, repeated, window):
+    """Words in windows that start at another place too."""
+    words = [p.split() for p in passages]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w, again in zip(words, repeated):
+        out.append({j for i in range(len(w) - window + 1) if again or seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)})
+    return out
+
+
+@pytest.mark.parametrize("intern", [False, True])
+@pytest.mark.parametrize("collide", [False, True])
+def test_factors_are_substrings_of_the_block(monkeypatch, intern, collide):
+    if collide:  # a fifth of the words have one hash: comparing words has to tell them apart
+        honest = substring.word_hashes
+        monkeypatch.setattr(substring, "word_hashes", lambda *a: (lambda h, n: (np.where(h % np.uint64(5) == 0, np.uint64(7), h), n))(*honest(*a)))
+    rng = random.Random(8)
+    window = 5
+    stock = [" ".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(4)]
+    passages = list(dict.fromkeys(" ".join([rng.choice("abcdefgh") * rng.randint(1, 3), *rng.sample(stock, 2), rng.choice("xyz"), "q q q q q q q"[: rng.choice([1, 13])]]).encode() for _ in range(60)))
+    repeated = [rng.random() < 0.2 for _ in passages]
+    found = substring.factor(passages, repeated, window, intern)
+    for k, (factors, want) in enumerate(zip(found, plain_factors(passages, repeated, window), strict=True)):
+        words = passages[k].split()
+        covered = set()
+        for a, n, j, s in factors:
+            assert n >= window and words[a : a + n] == passages[j].split()[s : s + n]
+            assert (j, s) != (k, a) or repeated[k]
+            if not repeated[k]:  # greedy: the next word differs, or one of the two ends
+                assert a + n == len(words) or s + n == len(passages[j].split()) or words[a + n] != passages[j].split()[s + n]
+            covered.update(range(a, a + n))
+        assert covered == want
+
+
+def test_one_hot_anchor_stays_in_bounds(make_docs):
+    rng = random.Random(12)
+    stock = [f"s{i}" for i in range(20)]  # a phrase that is too short for a window, in other words each time
+    docs = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(30)] + stock + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(1500)]
+    docs += [(2000 + i, docs[i][1]) for i in range(300)]
+    rows = {r.id: r for r in substring.remove_repeats(make_docs(docs), hot_blocks=2).collect()}
+    assert all(rows[i].n_removed == (80 if i < 300 or i >= 2000 else 0) for i, _ in docs)
+    block = substring.TextBlock(pa.array([t for _, t in docs]), 35)
+    hot = np.array(sorted(Counter(block.anchor[block.valid].tolist()).most_common(1)[0][:1]), np.uint64)
+    starts, runs = block.runs(block.anchors, hot)
+    assert len(starts) > 1000 and not np.isin(block.anchor[runs[:, 0]], hot).any()  # its windows are no passages of one block
+    dealt = substring.hash_payloads(substring.HOT, 0, 50, [np.sort(substring.rolled(block.words, 35)[starts])] * 2, np.zeros(len(starts), bool))
+    sizes = [len(r[3]) // 16 for r in dealt]
+    assert len(sizes) == 50 and max(sizes) < 3 * np.median(sizes)
+
+
 def test_passages_odd_rows(odd_docs, no_docs):
     rows = substring.remove_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count()
