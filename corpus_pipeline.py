@@ -1,7 +1,8 @@
 """A corpus pipeline: toxic documents, exact and near copies go, personal data is masked, the rest is packed.
 
-``STAGES`` are applied in order; each reads all that the one before kept. The SQL
-of the whole is None: toxicity, SimHash and tokens have no SQL form.
+``STAGES`` are applied in order; each reads all that the one before kept, which
+``run`` writes to the checkpoint folder once. The SQL of the whole is None:
+toxicity, SimHash and tokens have no SQL form.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exactdup, neardup, packing, pii, toxicity
-from tessera.llm.common import id_remainder, load
+from tessera.llm.common import checkpoint, id_remainder, load
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        # Stages read their input several times; it is computed once.
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,23 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .functions import dates, documents, keys
 from .functions.handles import Handle, Qualified, and_, not_, or_, raw, true, where_if
 from .operators import aggregate as agg
+from .operators import bulk
 from .operators.bulk import changed_columns
 from .operators.include import Include
 from .operators.paging import encode_cursor, keyset_frame, offset_page_meta
-from .plans.engine import Engine
+from .plans.engine import Engine, Repo
 from .plans.query import Query
 from .schema.diff import converted, diff, rebuilt
+from .schema.migrate import Migrator, between
 from .sources.rawsql import raw_query
+from .sources.store import Changes, Store
 from .spec import ModelSpec, RelationSpec, column, model
 from .streaming import events as log
-from .streaming import inbox, outbox, run
+from .streaming import inbox, outbox, run, windows
+from .unit import Session, Units
 
 REGION = model("region", column("r_regionkey", "int"), column("r_name", "string"), key="r_regionkey")
 NATION = model(
@@ -167,7 +173,10 @@ query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal FROM cu
     lambda e: e.repo(CUSTOMER).inner_join("nation", Qualified("customer.c_nationkey").eq_col(Qualified("nation.n_nationkey"))).group_by(["nation.n_name"], [agg.count_star().as_("n"), agg.avg("c_acctbal").as_("a")]).select("n_name", "n", F.round("a", 6).alias("avg_bal"))
 )
 query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "semi_keys")(
-    lambda e: (lambda c, o: c.join(o, c.c_custkey == o.o_custkey, "left_semi"))(e.repo(CUSTOMER).query().select("c_custkey"), orders(e).where(PRICE.gt(400000)).select("o_custkey"))
+    lambda e: e.repo(CUSTOMER).where_in("c_custkey", orders(e).where(PRICE.gt(400000)), "o_custkey").select("c_custkey")
+)
+query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "anti_keys")(
+    lambda e: e.repo(CUSTOMER).where_not_in("c_custkey", orders(e), "o_custkey").select("c_custkey")
 )
 
 # ---- aggregates
@@ -289,8 +298,10 @@ query("SELECT n_nationkey, '00000000-0000-0000-0000-' || lpad(lower(printf('%x',
     lambda e: e.repo(NATION).query().df().select("n_nationkey", keys.normalize_uuid(F.concat(F.lit("{"), F.lpad(F.hex("n_nationkey"), 32, "0"), F.lit("}"))).alias("u"))
 )
 
-# ---- what writes leave behind, as plans
+# ---- writes: a store gets the rows, operators change them, and the committed table is read back
 
+SOFT_ORDERS = model("soft_orders", *ORDERS.columns, key="o_orderkey", soft_delete=True)
+VERSIONED_ORDERS = model("versioned_orders", *ORDERS.columns, key="o_orderkey", versioned=True)
 _NEW_ORDERS = "(SELECT o_orderkey + 10000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 300 = 0)"
 _SOURCE = f"(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 150 = 0 UNION ALL SELECT * FROM {_NEW_ORDERS})"
 
@@ -303,25 +314,104 @@ def _upsert_source(e: Engine) -> DataFrame:
     return orders(e).df().where("o_orderkey % 150 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1).unionByName(_new_orders(e))
 
 
-def _upserted(e: Engine, update: bool) -> DataFrame:
-    base, source = orders(e).df(), _upsert_source(e).select("o_orderkey", *(F.col(c).alias(f"_{c}") for c in ORDERS.names[1:]))
-    joined = base.join(source, "o_orderkey", "full_outer")
-    values = [F.coalesce(*((f"_{c}", c) if update and c == "o_totalprice" else (c, f"_{c}"))).alias(c) for c in ORDERS.names[1:]]
-    return joined.select("o_orderkey", *values)
+def stored(e: Engine, spec: ModelSpec = ORDERS, **more: StructType) -> Store:
+    """A new store in the shared folder that holds a model's table with all orders, and empty tables by name."""
+    store = Store(e.spark, run.shared_folder(e.spark))
+    changes = store.begin()
+    for table, schema in {spec.table: spec.schema(), **more}.items():
+        changes.create(table, schema)
+    changes.commit()
+    store.transact(lambda c: bulk.insert(c, spec, orders(e).df()))
+    return store
+
+
+def written(e: Engine, write: Callable[[Changes, Query], Any], spec: ModelSpec = ORDERS) -> DataFrame:
+    """The table after a committed write, which is given the transaction and a query of its rows."""
+    store = stored(e, spec)
+    store.transact(lambda c: write(c, Repo(e, spec, lambda: c.frame(spec.table)).query()))
+    return store.read(spec.table)
+
 
+def in_session(e: Engine, work: Callable[[Session], Any], spec: ModelSpec) -> DataFrame:
+    """The table after a unit of work."""
+    store = stored(e, spec)
+    Units(store, e).run(work)
+    return store.read(spec.table)
 
-query(f"SELECT {ORDER_COLUMNS} FROM orders UNION ALL SELECT * FROM {_NEW_ORDERS}", "bulk_insert_result")(lambda e: orders(e).df().unionByName(_new_orders(e)))
+
+query(f"SELECT {ORDER_COLUMNS} FROM orders UNION ALL SELECT * FROM {_NEW_ORDERS}", "bulk_insert_result")(lambda e: written(e, lambda c, q: bulk.insert(c, ORDERS, _new_orders(e))))
 query(f"""SELECT coalesce(o.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(o.o_custkey, s.o_custkey) AS o_custkey, coalesce(o.o_orderstatus, s.o_orderstatus) AS o_orderstatus, coalesce(s.o_totalprice, o.o_totalprice) AS o_totalprice,
-          coalesce(o.o_orderdate, s.o_orderdate) AS o_orderdate, coalesce(o.o_orderpriority, s.o_orderpriority) AS o_orderpriority FROM orders o FULL JOIN {_SOURCE} s ON o.o_orderkey = s.o_orderkey""", "upsert_update")(lambda e: _upserted(e, True))
-query(f"SELECT {ORDER_COLUMNS} FROM orders UNION ALL SELECT * FROM {_NEW_ORDERS}", "upsert_do_nothing")(lambda e: _upserted(e, False))
+          coalesce(o.o_orderdate, s.o_orderdate) AS o_orderdate, coalesce(o.o_orderpriority, s.o_orderpriority) AS o_orderpriority FROM orders o FULL JOIN {_SOURCE} s ON o.o_orderkey = s.o_orderkey""", "upsert_update")(
+    lambda e: written(e, lambda c, q: bulk.upsert(c, ORDERS, _upsert_source(e), ("o_orderkey",), ("o_totalprice",)))
+)
+query(f"SELECT {ORDER_COLUMNS} FROM orders UNION ALL SELECT * FROM {_NEW_ORDERS}", "upsert_do_nothing")(lambda e: written(e, lambda c, q: bulk.upsert(c, ORDERS, _upsert_source(e), ("o_orderkey",), None)))
 query(f"SELECT {', '.join('CASE WHEN o_totalprice < 5000 THEN 0 ELSE o_totalprice END AS o_totalprice' if c == 'o_totalprice' else c for c in ORDERS.names)} FROM orders", "bulk_update")(
-    lambda e: orders(e).df().withColumn("o_totalprice", F.when(PRICE.lt(5000).column(), F.lit(0.0)).otherwise(F.col("o_totalprice")))
+    lambda e: written(e, lambda c, q: bulk.update(c, q.where(PRICE.lt(5000)), {"o_totalprice": 0.0}))
+)
+query(f"SELECT {', '.join('o_totalprice + 1 AS o_totalprice' if c == 'o_totalprice' else c for c in ORDERS.names)} FROM orders", "bulk_update_expression")(
+    lambda e: written(e, lambda c, q: bulk.update(c, q.all_rows(), {"o_totalprice": bulk.Sql("o_totalprice + ?", (1,))}))
+)
+query(f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT (o_orderstatus = 'P')", "bulk_delete")(lambda e: written(e, lambda c, q: bulk.delete(c, q.where(STATUS.eq("P")))))
+query("SELECT o_orderkey, o_orderstatus = 'F' AS deleted FROM orders", "soft_delete_apply")(
+    lambda e: written(e, lambda c, q: bulk.delete(c, q.where(STATUS.eq("F"))), SOFT_ORDERS).select("o_orderkey", F.col("deleted_at").isNotNull().alias("deleted"))
 )
-query(f"SELECT {ORDER_COLUMNS} FROM orders WHERE NOT (o_orderstatus = 'P')", "bulk_delete")(lambda e: orders(e).df().where(~F.coalesce(STATUS.eq("P").column(), F.lit(False))))
-query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders", "soft_delete_apply")(lambda e: orders(e).df().select("o_orderkey", F.when(STATUS.eq("F").column(), F.col("o_orderdate")).alias("deleted_at")))
-query("SELECT o_orderkey, 1 + CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS version FROM orders", "versioned_update")(
-    lambda e: orders(e).df().select("o_orderkey", (F.lit(1) + F.when(PRIORITY.eq("1-URGENT").column(), 1).otherwise(0)).alias("version"))
+query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'", "hard_delete")(
+    lambda e: written(e, lambda c, q: bulk.delete(c, q.where(STATUS.eq("F")), hard=True), SOFT_ORDERS).where("deleted_at IS NULL").select("o_orderkey")
 )
+
+
+def _touch(s: Session) -> None:
+    for row in s.all(s.repo(VERSIONED_ORDERS).where(PRICE.gt(450000))):
+        row["o_orderstatus"] = "X"
+
+
+def _take_away(s: Session) -> None:
+    for row in s.all(s.repo(VERSIONED_ORDERS).where(PRICE.gt(450000))):
+        s.remove(row)
+
+
+query("SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, 1 + CAST(o_totalprice > 450000 AS INTEGER) AS version FROM orders", "versioned_update")(
+    lambda e: in_session(e, _touch, VERSIONED_ORDERS).select("o_orderkey", "o_orderstatus", "version")
+)
+query("SELECT o_orderkey, 1 AS version FROM orders WHERE NOT o_totalprice > 450000", "unit_remove")(lambda e: in_session(e, _take_away, VERSIONED_ORDERS).select("o_orderkey", "version"))
+
+
+def _savepoints(s: Session) -> None:
+    kept = s.add(ORDERS, {"o_orderkey": -1, "o_custkey": 1, "o_orderstatus": "N", "o_totalprice": 1.0, "o_orderdate": datetime(2024, 1, 1), "o_orderpriority": "none"})
+    try:
+        with s.savepoint():
+            s.add(ORDERS, {**kept, "o_orderkey": -2})
+            s.flush()
+            raise LookupError
+    except LookupError:
+        pass
+    with s.savepoint():
+        s.add(ORDERS, {**kept, "o_orderkey": -3})
+
+
+query("SELECT o_orderkey FROM orders UNION ALL SELECT unnest([-1, -3])", "unit_savepoint")(lambda e: in_session(e, _savepoints, ORDERS).select("o_orderkey"))
+
+
+def _with_events(e: Engine) -> DataFrame:
+    store = stored(e, ORDERS, outbox=outbox.OUTBOX)
+    units = Units(store, e)
+    units.add_sink(outbox.Outbox(mapper=lambda key: ("order_placed", {"key": key}, None)).sink)
+    units.insert_with_events(ORDERS, _new_orders(e), lambda rows: sorted(r[0] for r in rows.select("o_orderkey").collect()))
+    return store.read("outbox").select("id", "type", "payload")
+
+
+query(f"""SELECT row_number() OVER (ORDER BY o_orderkey) AS id, 'order_placed' AS type, '{{"key": ' || o_orderkey || '}}' AS payload FROM {_NEW_ORDERS}""", "bulk_insert_with_events")(_with_events)
+
+
+def _compacted(e: Engine) -> DataFrame:
+    store = stored(e)
+    store.transact(lambda c: bulk.insert(c, ORDERS, _new_orders(e)))
+    store.compact("orders")
+    store.vacuum()
+    return store.read("orders")
+
+
+query(f"SELECT {ORDER_COLUMNS} FROM orders UNION ALL SELECT * FROM {_NEW_ORDERS}", "store_compact")(_compacted)
 query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'o_orderstatus,' ELSE '' END || 'o_totalprice' AS changed FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus <> 'X'""", "diff_changed_columns")(
     lambda e: changed_columns(
         orders(e).df(), orders(e).df().where("o_orderkey % 7 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))), ("o_orderkey",)
@@ -361,7 +451,60 @@ query(f"""SELECT id, partition_key FROM {_OUTBOX_SQL} o WHERE NOT held AND (part
     lambda e: outbox.claimable(_outbox(e), 50).select("id", "partition_key")
 )
 query(f"SELECT id, row_number() OVER (PARTITION BY coalesce(partition_key, '#' || id) ORDER BY id) AS turn FROM {_OUTBOX_SQL}", "outbox_order")(lambda e: outbox.publish_order(_outbox(e)).select("id", "turn"))
-query("SELECT event_id AS id, event_id % 7 >= 5 AND event_id % 5 <> 0 AS dead FROM events", "dead_letter")(lambda e: _outbox(e).select("id", (F.col("dead_at").isNotNull() & F.col("processed_at").isNull()).alias("dead")))
+
+
+def _relayed(e: Engine) -> DataFrame:
+    """Sign-ups as messages without a key, sent by a relay to a publisher that takes none whose number divides by 7."""
+    store = Store(e.spark, run.shared_folder(e.spark))
+    store.transact(lambda c: c.create("outbox", outbox.OUTBOX))
+    fresh = {"partition_key": None, "processed_at": None, "claimed_by": None, "claimed_until": None, "attempts": 0, "dead_at": None}
+    store.transact(lambda c: c.append("outbox", _outbox(e).where("type = 'signup'").withColumns({n: F.lit(v) for n, v in fresh.items()})))
+
+    def publish(m: outbox.Message) -> None:
+        if m.id % 7 == 0:
+            raise ValueError("down")
+
+    outbox.Relay(store, publish, batch=10_000, attempts=2).drain()
+    return store.read("outbox").select("id", F.col("dead_at").isNotNull().alias("dead"), F.col("processed_at").isNotNull().alias("sent"), "attempts", "last_error")
+
+
+query("SELECT event_id AS id, event_id % 7 = 0 AS dead, event_id % 7 <> 0 AS sent, 1 + CAST(event_id % 7 = 0 AS INTEGER) AS attempts, CASE WHEN event_id % 7 = 0 THEN 'down' END AS last_error FROM events WHERE event_type = 'signup'", "dead_letter")(_relayed)
+
+
+def _event_store(e: Engine) -> Store:
+    """A log with two events for each region's stream, appended by two writers that commit between each other's appends."""
+    store = Store(e.spark, run.shared_folder(e.spark))
+    events = log.EventLog(store)
+    store.transact(events.create)
+    regions = [(r["r_regionkey"], r["r_name"]) for r in e.repo(REGION).order_by(REGION.c("r_regionkey").asc()).all()]
+    for key, name in regions:
+        outer = store.begin()
+        events.append(outer, name, 0, ("created", {"key": key}), ("named", {"name": name}))
+        store.transact(lambda c, key=key: events.append(c, f"between-{key}", 0, ("passed", {})))
+        outer.commit()
+    return store
+
+
+query("""SELECT stream_id, version, row_number() OVER (ORDER BY k, turn, version) AS global_pos, event_type, payload FROM (
+           SELECT r_name AS stream_id, 1 AS version, r_regionkey AS k, 1 AS turn, 'created' AS event_type, '{"key": ' || r_regionkey || '}' AS payload FROM region
+           UNION ALL SELECT r_name, 2, r_regionkey, 1, 'named', '{"name": "' || r_name || '"}' FROM region UNION ALL SELECT 'between-' || r_regionkey, 1, r_regionkey, 0, 'passed', '{}' FROM region)""", "event_append")(
+    lambda e: _event_store(e).read("events").select("stream_id", F.col("version").cast("int").alias("version"), "global_pos", "event_type", "payload")
+)
+
+
+def _projected(e: Engine) -> DataFrame:
+    store = _event_store(e)
+    store.transact(lambda c: c.create("totals", StructType([StructField("stream_id", StringType()), StructField("n", LongType())])))
+
+    def apply(c: Changes, part: DataFrame) -> None:
+        grown = c.frame("totals").unionByName(part.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n")))
+        c.rewrite("totals", grown.groupBy("stream_id").agg(F.sum("n").alias("n")))
+
+    log.EventLog(store).project("totals", apply, limit=4)
+    return store.read("totals")
+
+
+query("SELECT r_name AS stream_id, 2 AS n FROM region UNION ALL SELECT 'between-' || r_regionkey, 1 FROM region", "event_projection")(lambda e: _projected(e).select("stream_id", F.col("n").cast("int").alias("n")))
 
 
 def _inbox(e: Engine) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +516,19 @@ def _inbox(e: Engine) -> tuple[DataFrame, DataFrame]:
 query("""SELECT CAST(user_id AS VARCHAR) AS message_id, event_type AS handler, min(event_id) AS event_id FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 50 = 0) GROUP BY ALL""", "inbox_dedupe")(
     lambda e: inbox.fresh(*_inbox(e), order="event_id")
 )
-query("SELECT event_id FROM events WHERE NOT (ts < TIMESTAMP '2024-01-10')", "purge")(lambda e: inbox.purged(e.table("events").withColumnRenamed("ts", "processed_at"), datetime(2024, 1, 10)).select("event_id"))
+
+
+def _purged(e: Engine) -> DataFrame:
+    store = Store(e.spark, run.shared_folder(e.spark))
+    store.transact(lambda c: c.create("inbox", inbox.INBOX))
+    seen = e.table("events").select(F.col("event_id").cast("string").alias("message_id"), F.col("event_type").alias("handler"), F.col("ts").cast("timestamp").alias("received_at"))
+    rest = {"processed_at": F.lit(None), "attempts": F.lit(1), "last_error": F.lit(None)}
+    store.transact(lambda c: c.append("inbox", seen.withColumns(rest)))
+    gone = store.transact(lambda c: inbox.Inbox(store).purge(c, F.lit("2024-01-10").cast("timestamp")))
+    return store.read("inbox").select("message_id", F.lit(gone).cast("long").alias("gone"))
+
+
+query("SELECT CAST(event_id AS VARCHAR) AS message_id, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-10') AS gone FROM events WHERE NOT (ts < TIMESTAMP '2024-01-10')", "purge")(_purged)
 
 # ---- streams, run over what is there
 
@@ -383,12 +538,36 @@ def streaming(sql: str, name: str, plan: Callable[[DataFrame], DataFrame], mode:
     ORACLE_SQL[name] = sql
 
 
-streaming("SELECT user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id", "stream_projection_complete", lambda s: s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id")), "complete")
+def _measured(s: DataFrame) -> tuple:
+    return F.count(F.lit(1)).alias("n"), F.max("value").alias("top")
+
+
+def _days(df: DataFrame) -> DataFrame:
+    return df.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "top")
+
+
+streaming(
+    "SELECT user_id AS stream_id, count(*) AS n_events, max(event_id) AS version, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id", "stream_projection_complete",
+    lambda s: log.fold(s.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("version"), "event_type")), "complete",
+)
 streaming(
     "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(value) AS top FROM events GROUP BY ALL", "stream_tumbling",
-    lambda s: s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")).select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "top"), "complete",
+    lambda s: _days(windows.tumbling(s, "ts", "1 day", ("event_type",), *_measured(s), lateness="1 hour")), "complete",
+)
+streaming(
+    "SELECT event_type, strftime(date_trunc('day', ts) - to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS day, count(*) AS n, max(value) AS top FROM events, range(2) t(k) GROUP BY ALL", "stream_sliding",
+    lambda s: _days(windows.sliding(s, "ts", "2 days", "1 day", ("event_type",), *_measured(s), lateness="1 hour")), "complete",
+)
+streaming(
+    """SELECT event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n, max(value) AS top
+       FROM (SELECT *, sum(cut) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run
+             FROM (SELECT *, CAST(coalesce(ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) + INTERVAL 20 MINUTE, TRUE) AS INTEGER) AS cut FROM events)) GROUP BY event_type, run""", "stream_session",
+    lambda s: windows.sessions(s, "ts", "20 minutes", ("event_type",), *_measured(s), lateness="1 hour").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n", "top"), "complete",
+)
+streaming(
+    "SELECT DISTINCT CAST(user_id AS VARCHAR) AS message_id, event_type AS handler FROM events", "stream_dedupe",
+    lambda s: inbox.fresh_stream(s.select(F.col("user_id").cast("string").alias("message_id"), F.col("event_type").alias("handler"), "ts"), "ts", "36500 days").select("message_id", "handler"), "append",
 )
-streaming("SELECT DISTINCT user_id, event_type FROM events", "stream_dedupe", lambda s: s.select("user_id", "event_type").dropDuplicates(), "append")
 
 # ---- schema
 
@@ -397,6 +576,22 @@ query("SELECT o_orderkey, coalesce(CAST(nullif(CASE WHEN o_orderkey % 3 = 0 THEN
 )
 _NEW_PART = ModelSpec("part", (column("p_partkey", "long"), column("title", "string", renamed_from="p_name"), column("p_size", "long"), column("stock", "int", default=0)), ("p_partkey",))
 query("SELECT p_partkey, p_name AS title, CAST(p_size AS BIGINT) AS p_size, 0 AS stock FROM part", "table_rebuild_copy")(lambda e: rebuilt(e.table("part"), _NEW_PART))
+
+
+def _migrated(e: Engine) -> DataFrame:
+    """Parts in a store, through a migration, back, and forward again."""
+    store = Store(e.spark, run.shared_folder(e.spark))
+    migrator = Migrator(store, [between("001", "parts", [], [PART]), between("002", "titles", [PART], [_NEW_PART])])
+    migrator.up(1)
+    store.transact(lambda c: bulk.insert(c, PART, e.repo(PART).query().df()))
+    for _ in range(2):
+        migrator.up()
+        migrator.down()
+    migrator.up()
+    return store.read("part")
+
+
+query("SELECT p_partkey, p_name AS title, CAST(p_size AS BIGINT) AS p_size, 0 AS stock FROM part", "migration_applied")(_migrated)
 query("""SELECT * FROM (VALUES ('rename_column', 'title'), ('change_type', 'p_size'), ('add_column', 'stock'), ('drop_column', 'p_brand'), ('drop_column', 'p_type'), ('drop_column', 'p_retailprice')) t(kind, name)""", "schema_diff_ops")(
     lambda e: e.spark.createDataFrame([(op.kind, op.column) for op in diff([PART], [_NEW_PART])], "kind string, name string")
 )

@@ -79,15 +79,21 @@ def numbered_keys(changes: Changes, spec: ModelSpec, df: DataFrame) -> DataFrame
 
 def check_rows(changes: Changes, spec: ModelSpec, rows: DataFrame, against: DataFrame | None) -> None:
     """Raises for the first constraint that ``rows`` break; ``against`` are the table's other rows, for uniqueness."""
+    broken: list[tuple[Column, Exception]] = []
     for c in spec.columns:
-        if not c.nullable and not (spec.auto_key and c.name in spec.key) and not rows.where(F.col(c.name).isNull()).isEmpty():
-            raise NotNullError(spec.table, c.name)
-        if c.values is not None and not rows.where(F.col(c.name).isNotNull() & ~F.col(c.name).isin(list(c.values))).isEmpty():
-            raise CheckError(spec.table, c.name, f"is none of {c.values}")
+        if not c.nullable and not (spec.auto_key and c.name in spec.key):
+            broken.append((F.col(c.name).isNull(), NotNullError(spec.table, c.name)))
+        if c.values is not None:
+            broken.append((F.col(c.name).isNotNull() & ~F.col(c.name).isin(list(c.values)), CheckError(spec.table, c.name, f"is none of {c.values}")))
     for check in (*(c.check for c in spec.columns if c.check), *spec.checks):
         # A check that is unknown holds.
-        if not rows.where(~F.expr(f"coalesce(({check}), true)")).isEmpty():
-            raise CheckError(spec.table, check)
+        broken.append((~F.expr(f"coalesce(({check}), true)"), CheckError(spec.table, check)))
+    if broken:
+        # All conditions of single rows in one pass.
+        seen = rows.agg(*(F.max(test).alias(str(i)) for i, (test, _) in enumerate(broken))).first()
+        for hit, (_, error) in zip(seen, broken, strict=True):
+            if hit:
+                raise error
     for group in (spec.key, *((c.name,) for c in spec.columns if c.unique), *spec.unique):
         present = rows.select(*group).where(reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in group)))
         if not present.groupBy(*group).count().where("count > 1").isEmpty() or (against is not None and not against.join(present, list(group), "left_semi").isEmpty()):
@@ -164,6 +170,24 @@ def delete(changes: Changes, query: Query, hard: bool = False) -> int:
     return n
 
 
+def delete_keys(changes: Changes, spec: ModelSpec, keys: DataFrame, hard: bool = False) -> int:
+    """Deletes the rows whose key (and version, where ``keys`` has one) is in ``keys``, as ``delete`` does; how many there were."""
+    on = tuple(c for c in (*spec.key, VERSION) if c in keys.columns)
+    wanted = keys.select(*on).distinct()
+    table = changes.frame(spec.table)
+    soft = spec.soft_delete and not hard
+    files, n = _touched_by(changes, spec, table.where(F.col(SOFT_DELETE).isNull()) if soft else table, wanted, on)
+    if n:
+        marked = _part(changes, spec, files).join(wanted.withColumn("_hit", F.lit(True)), list(on), "left").select(*spec.names, "_hit")
+        if soft:
+            now = F.current_timestamp().cast(spec[SOFT_DELETE].type)
+            marked = marked.withColumn(SOFT_DELETE, F.when(F.col("_hit") & F.col(SOFT_DELETE).isNull(), now).otherwise(F.col(SOFT_DELETE)))
+        else:
+            marked = marked.where("_hit IS NULL")
+        changes.rewrite(spec.table, marked.drop("_hit"), files)
+    return n
+
+
 def upsert(changes: Changes, spec: ModelSpec, df: DataFrame, conflict: tuple[str, ...], set_columns: tuple[str, ...] | None, actor: str | None = None) -> None:
     """Inserts rows; where ``conflict`` columns equal those of a row that is there, sets ``set_columns`` of it, or, if None, leaves it.
 

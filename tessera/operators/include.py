@@ -1,8 +1,9 @@
 """Nested relations: related rows as arrays and structs, in one plan.
 
 Children are gathered on their own side first and joined to the parents by key,
-so a parent row is never multiplied. A limit per parent is a ranked window, which
-Spark cuts to the limit before it shuffles.
+so a parent row is never multiplied. They are sorted once, inside their parent's
+array. A limit per parent is a ranked window, which Spark cuts to the limit before
+it shuffles.
 """
 
 from __future__ import annotations
@@ -71,17 +72,33 @@ def _child(query: Query, spec: ModelSpec, inc: Include) -> DataFrame:
     return df
 
 
-def _ranked(query: Query, df: DataFrame, by: str, order: list[Ordering], limit: int | None, name) -> DataFrame:
-    """``df`` with _rn, the rank inside a parent; cut to the limit."""
+def _ranked(query: Query, df: DataFrame, by: str, order: list[Ordering], limit: int, name) -> DataFrame:
+    """``df`` cut to the first ``limit`` rows of each parent."""
     w = Window.partitionBy(by).orderBy(*(o.column(name, query.engine.null_order) for o in order))
-    df = df.withColumn("_rn", F.row_number().over(w))
-    return df if limit is None else df.where(F.col("_rn") <= limit)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+
+
+def _gathered(query: Query, df: DataFrame, by: str, order: list[Ordering], row: Column, to: str, limit: int | None = None) -> DataFrame:
+    """One row per parent key with its children in order, at most ``limit``."""
+    if limit is not None:
+        df = _ranked(query, df, by, order, limit, F.col)
+    nulls_first = [o.places_nulls_first(query.engine.null_order) for o in order]
+    down = {o.descending for o in order}
+    # Structs compare field by field, nulls lowest: one direction with its natural null placement needs no ranks.
+    if len(down) == 1 and all(first != o.descending for o, first in zip(order, nulls_first, strict=True)):
+        keys = [F.col(o.name).alias(f"_k{i}") for i, o in enumerate(order)]
+        listed = F.sort_array(F.collect_list(F.struct(*keys, row.alias("_row"))), asc=not down.pop())
+    else:
+        if limit is None:
+            df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*(o.column(F.col, query.engine.null_order) for o in order))))
+        listed = F.sort_array(F.collect_list(F.struct(F.col("_rn"), row.alias("_row"))))
+    return df.groupBy(F.col(by).alias("_parent")).agg(F.transform(listed, lambda x: x["_row"]).alias(to))
 
 
-def _gathered(df: DataFrame, by: str, row: Column, to: str) -> DataFrame:
-    """One row per parent key with its children in rank order."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col("_rn"), row.alias("_row"))))
-    return df.groupBy(F.col(by).alias("_parent")).agg(F.transform(listed, lambda x: x["_row"]).alias(to))
+def _same(left: Column, right: Column, spec: ModelSpec) -> Column:
+    """Keys are compared in the type that the key's model declares for it."""
+    kind = spec[spec.key[0]].type
+    return left.cast(kind) == right.cast(kind)
 
 
 def attach(query: Query, parents: DataFrame, spec: ModelSpec, inc: Include) -> DataFrame:
@@ -97,26 +114,25 @@ def attach(query: Query, parents: DataFrame, spec: ModelSpec, inc: Include) -> D
         raise ValueError(f"{name}: composite keys can only be on the side that belongs to another")
     if rel.kind == "belongs_to":
         to = child.select(F.col(target.key[0]).alias("_key"), row.alias(name))
-        return parents.join(to, parents[rel.key] == to["_key"], "left").drop("_key")
+        return parents.join(to, _same(parents[rel.key], to["_key"], target), "left").drop("_key")
     if rel.kind == "has_one":
         # Of several, the last in order.
         ranked = child.where(F.col(rel.key).isNotNull())
         last = [Ordering(o.name, not o.descending, "last" if o.places_nulls_first(query.engine.null_order) else "first") for o in order]
         one = _ranked(query, ranked, rel.key, last, 1, F.col).select(F.col(rel.key).alias("_parent"), row.alias(name))
-        return parents.join(one, parents[spec.key[0]] == one["_parent"], "left").drop("_parent")
+        return parents.join(one, _same(parents[spec.key[0]], one["_parent"], spec), "left").drop("_parent")
     if rel.kind == "has_many":
-        many = _ranked(query, child.where(F.col(rel.key).isNotNull()), rel.key, order, inc.per_parent, F.col)
-        lists = _gathered(many, rel.key, row, name)
+        lists = _gathered(query, child.where(F.col(rel.key).isNotNull()), rel.key, order, row, name, inc.per_parent)
     elif rel.kind == "many_to_many":
         pivot = query.engine.table(rel.pivot).select(F.col(rel.key).alias("_source"), F.col(rel.other_key).alias("_target")).where("_source IS NOT NULL").distinct()
         ranks = [F.col(o.name).alias(f"_by{i}") for i, o in enumerate(order)]
         to = child.select(F.col(target.key[0]).alias("_key"), row.alias("_row"), *ranks)
-        linked = pivot.join(to, pivot["_target"] == to["_key"])
+        linked = pivot.join(to, _same(pivot["_target"], to["_key"], target))
         by = [replace(o, name=f"_by{i}") for i, o in enumerate(order)]
-        lists = _gathered(_ranked(query, linked, "_source", by, inc.per_parent, F.col), "_source", F.col("_row"), name)
+        lists = _gathered(query, linked, "_source", by, F.col("_row"), name, inc.per_parent)
     else:
         raise ValueError(f"{name}: no relation of kind {rel.kind}")
-    joined = parents.join(lists, parents[spec.key[0]] == lists["_parent"], "left").drop("_parent")
+    joined = parents.join(lists, _same(parents[spec.key[0]], lists["_parent"], spec), "left").drop("_parent")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
 

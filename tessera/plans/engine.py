@@ -114,6 +114,8 @@ class Engine:
             notes.append("unbounded")
         if took > self.slow:
             notes.append("slow")
+        if kind in ("all", "first") and scans_everything(df):
+            notes.append("scan")
         if self.watch.note(df.semanticHash(), time.monotonic()):
             notes.append("repeated")
         return tuple(notes)
@@ -205,6 +207,12 @@ class Repo:
     def distinct(self) -> Query:
         return self.query().distinct()
 
+    def where_in(self, column: Any, other: Any, other_column: Any = None) -> Query:
+        return self.query().where_in(column, other, other_column)
+
+    def where_not_in(self, column: Any, other: Any, other_column: Any = None) -> Query:
+        return self.query().where_not_in(column, other, other_column)
+
     def left_join(self, table: Any, on: JoinOn, alias: str | None = None) -> Query:
         return self.query().left_join(table, on, alias)
 

@@ -38,6 +38,7 @@ class Query:
     wheres: tuple[Predicate, ...] = ()
     orders: tuple[Ordering, ...] = ()
     joins: tuple[tuple[str, DataFrame, JoinOn, str], ...] = ()
+    semi: tuple[tuple[str, DataFrame, str, str], ...] = ()  # (own column, frame, its column, "left_semi" | "left_anti")
     size: int | None = None
     offset: int | None = None
     is_distinct: bool = False
@@ -94,6 +95,19 @@ class Query:
             frame = self.engine.table(name)
         return replace(self, joins=(*self.joins, (alias or name, frame, on, kind)))
 
+    def where_in(self, column: str | Handle, other: Query | DataFrame, other_column: str | Handle | None = None) -> Query:
+        """Rows whose column is among another query's values: a semi join, so no row is multiplied and no list of keys is made."""
+        return self._semi("left_semi", column, other, other_column)
+
+    def where_not_in(self, column: str | Handle, other: Query | DataFrame, other_column: str | Handle | None = None) -> Query:
+        """Rows whose column is not among another query's values; a null column is in none."""
+        return self._semi("left_anti", column, other, other_column)
+
+    def _semi(self, kind: str, column: str | Handle, other: Query | DataFrame, other_column: str | Handle | None) -> Query:
+        theirs = name_of(other_column or column)
+        frame = (other.select(theirs) if isinstance(other, Query) else other.select(theirs)).select(F.col(theirs).alias("_among"))
+        return replace(self, semi=(*self.semi, (name_of(column), frame, "_among", kind)))
+
     def after(self, cursor: str) -> Query:
         """Page forward from a cursor; the last of after() and before() counts."""
         return replace(self, cursor=("after", cursor))
@@ -142,6 +156,8 @@ class Query:
         for p in self.predicates():
             if not p.is_noop:
                 df = df.where(p.column(resolve))
+        for own, frame, theirs, kind in self.semi:
+            df = df.join(frame, resolve(own) == F.col(theirs), kind)
         return df
 
     def ordered(self, df: DataFrame, resolve: Callable[[str], Column] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
@@ -47,7 +47,13 @@ def between(version: str, name: str, old: list[ModelSpec], new: list[ModelSpec])
             if m.table not in {x.table for x in target}:
                 changes.drop(m.table)
 
-    return Migration(version, name, lambda c: move(c, old, new), lambda c: move(c, new, old), text=repr(diff(old, new)))
+    return Migration(version, name, lambda c: move(c, old, new), lambda c: move(c, new, renamed_back(old, new)), text=repr(diff(old, new)))
+
+
+def renamed_back(old: list[ModelSpec], new: list[ModelSpec]) -> list[ModelSpec]:
+    """The old models, whose columns come from what the new ones renamed them to."""
+    names = {(m.table, c.renamed_from): c.name for m in new for c in m.columns if c.renamed_from}
+    return [replace(m, columns=tuple(replace(c, renamed_from=names.get((m.table, c.name))) for c in m.columns)) for m in old]
 
 
 class Migrator:

@@ -74,11 +74,18 @@ class EventLog:
         at = changes.frame(self.table).where(F.col("stream_id") == stream_id).agg(F.max("version")).first()[0] or 0
         if at != expected:
             raise ConcurrencyError(f"{stream_id} is at {at}, not {expected}")
-        # Positions come from a counter of the store: the log isn't read for them.
-        now, commit, base = datetime.now(UTC), changes.base.version + 1, changes.counter(f"{self.table}.global_pos", len(events))
-        rows = [(stream_id, expected + i, base + i, commit, kind, json.dumps(body), json.dumps(metadata or {}), now) for i, (kind, body) in enumerate(events, 1)]
-        changes.append(self.table, self.store.spark.createDataFrame(rows, EVENTS))
-        changes.depend(self.table)  # versions and positions were taken from this state
+        now = datetime.now(UTC)
+        bodies = [(kind, json.dumps(body)) for kind, body in events]
+
+        def rows(base: int, commit: int) -> DataFrame:
+            return self.store.spark.createDataFrame([(stream_id, expected + i, base + i, commit, kind, body, json.dumps(metadata or {}), now) for i, (kind, body) in enumerate(bodies, 1)], EVENTS)
+
+        def taken(added: DataFrame) -> None:
+            if not added.where((F.col("stream_id") == stream_id) & (F.col("version") > expected)).isEmpty():
+                raise ConcurrencyError(f"{stream_id} is not at {expected} any more")
+
+        # Positions come from a counter of the store: the log isn't read for them. Other streams' events don't conflict.
+        changes.append_numbered(self.table, f"{self.table}.global_pos", len(events), rows, taken)
         return expected + len(events)
 
     def read(self, stream_id: str, from_version: int = 0) -> Iterator[Row]:

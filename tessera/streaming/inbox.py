@@ -58,10 +58,13 @@ class Inbox:
             return
         self._put(changes, message_id, handler, (message_id, handler, old["received_at"] if old else datetime.now(UTC), None, (old["attempts"] if old else 0) + 1, error))
 
-    def purge(self, changes: Changes, before: datetime) -> None:
-        """Forgets messages that were processed before a time."""
-        changes.rewrite(self.table, purged(changes.frame(self.table), before))
-
-
-def purged(inbox: DataFrame, before: Any) -> DataFrame:
-    return inbox.where(~F.coalesce(F.col("processed_at") < F.lit(before), F.lit(False)))
+    def purge(self, changes: Changes, before: datetime) -> int:
+        """Forgets messages that were received before a time, failed ones too; how many.
+
+        A message that comes again after that is handled again, so ``before`` has to lie beyond the broker's memory.
+        """
+        old = F.col("received_at") < F.lit(before)
+        n = changes.frame(self.table).where(old).count()
+        if n:
+            changes.edit(self.table, old, lambda df: df.where(~old))
+        return n

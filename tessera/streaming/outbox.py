@@ -75,18 +75,24 @@ class Outbox:
             self.append(session.changes, session.store, messages)
 
     def append(self, changes: Changes, store: Store, messages: Iterable[tuple[str, Any, str | None]]) -> None:
-        messages, now = list(messages), datetime.now(UTC)
-        first = changes.counter(f"{self.table}.id", len(messages)) + 1
-        rows = [(first + i, kind, json.dumps(body), key, now, None, None, None, 0, None, None) for i, (kind, body, key) in enumerate(messages)]
-        changes.append(self.table, store.spark.createDataFrame(rows, OUTBOX))
-        changes.depend(self.table)
+        now = datetime.now(UTC)
+        bodies = [(kind, json.dumps(body), key) for kind, body, key in messages]
+
+        def rows(last: int, _: int) -> DataFrame:
+            return store.spark.createDataFrame([(last + i, kind, body, key, now, None, None, None, 0, None, None) for i, (kind, body, key) in enumerate(bodies, 1)], OUTBOX)
+
+        if bodies:
+            changes.append_numbered(self.table, f"{self.table}.id", len(bodies), rows)
 
 
 class Relay:
-    """Publishes messages. ``publish`` may be called again for a message after a crash."""
+    """Publishes messages. ``publish`` may be called again for a message after a crash; ``on_dead`` is told of each that is given up."""
 
-    def __init__(self, store: Store, publish: Callable[[Message], None], table: str = "outbox", name: str = "relay", batch: int = 100, lease: float = 30.0, attempts: int = 5, concurrency: int = 8) -> None:
-        self.store, self.publish, self.table, self.name = store, publish, table, name
+    def __init__(
+        self, store: Store, publish: Callable[[Message], None], table: str = "outbox", name: str = "relay", batch: int = 100, lease: float = 30.0, attempts: int = 5, concurrency: int = 8,
+        on_dead: Callable[[Message, str], None] | None = None,
+    ) -> None:
+        self.store, self.publish, self.table, self.name, self.on_dead = store, publish, table, name, on_dead
         self.batch, self.lease, self.attempts, self.concurrency = batch, lease, attempts, concurrency
 
     def claim(self) -> list[Message]:
@@ -142,8 +148,21 @@ class Relay:
             changes.edit(self.table, F.col("id").isin([m.id for m in claimed]), mark_all)
 
         self.store.transact(mark, attempts=10)
+        if self.on_dead is not None:
+            for m in claimed:
+                if m.id in failed and m.attempts >= self.attempts:
+                    self.on_dead(m, failed[m.id])
         return len(done)
 
+    def drain(self, rounds: int = 1000) -> int:
+        """Publishes until nothing is open that could be claimed; messages that fail are tried until they are dead."""
+        total = 0
+        for _ in range(rounds):
+            total += self.run_once()
+            if claimable(self.store.read(self.table), 1, datetime.now(UTC)).isEmpty():
+                break
+        return total
+
     def run(self, stop: Callable[[], bool], poll: float = 1.0) -> None:
         import time
 

@@ -17,12 +17,11 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import ConcurrencyError, MissingRowError, NotFoundError, ReadOnlyError, SerializationError, TesseraError
-from .functions.handles import Handle
 from .functions.keys import uuid7
 from .operators import bulk
 from .plans.engine import Engine, Repo
@@ -175,13 +174,15 @@ class Session:
             for t in rows:
                 t.state, t.whole, t.snapshot = CLEAN, False, copy.deepcopy(t.row)
         for spec, rows in self._grouped(DELETED):
-            for t in rows:
-                query = self.repo(spec).query().unscoped().where(*(Handle(k).eq(v) for k, v in zip(spec.key, t.key, strict=True)))
-                if spec.versioned:
-                    query = query.where(Handle(VERSION).eq(t.snapshot.get(VERSION)))
-                if bulk.delete(self.changes, query, hard=t.hard) == 0 and spec.versioned:
-                    raise ConcurrencyError(f"{spec.table} {t.key}")
-                n += 1
+            fields = [T.StructField(k, spec[k].type) for k in spec.key] + ([T.StructField(VERSION, spec[VERSION].type)] if spec.versioned else [])
+            for hard in (False, True):  # one rewrite of the touched files for each kind
+                some = {t.key: t for t in rows if t.hard == hard}
+                if some:
+                    keys = self.store.spark.createDataFrame([(*k, *((t.snapshot.get(VERSION),) if spec.versioned else ())) for k, t in some.items()], T.StructType(fields))
+                    found = bulk.delete_keys(self.changes, spec, keys, hard)
+                    if found < len(some) and spec.versioned:
+                        raise ConcurrencyError(f"{spec.table}: {len(some) - found} of {len(some)} rows have changed")
+                    n += len(some)
             self.tracked = [t for t in self.tracked if t not in rows]
         return n
 
@@ -294,6 +295,15 @@ class Units:
                 for report in self.errors:
                     report(e)
 
+    def insert_with_events(self, spec: ModelSpec, df: DataFrame, events: Callable[[DataFrame], list[Any]] | list[Any]) -> int:
+        """Inserts rows and hands their events (or what ``events`` makes of the rows as written) to the sinks, in one commit; how many rows."""
+        with self.begin() as session:
+            written = bulk.insert(session.changes, spec, df, actor.get())
+            n = written.count()
+            for event in events(written) if callable(events) else events:
+                session.record(event)
+        return n
+
     def run(self, work: Callable[[Session], Any], attempts: int = 3) -> Any:
         """Runs ``work`` in a transaction, again if another commit came between."""
         for attempt in range(attempts):
