@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 CHUNK_BYTES = 1 << 21
@@ -59,6 +60,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def carried(docs: DataFrame, keep: tuple[str, ...]) -> list[Column]:
+    """The ``keep`` columns as one struct, ``kept_columns``, so that their names clash with none; nothing if there are none."""
+    return [F.struct(*[docs[quoted(c)] for c in keep]).alias("kept_columns")] if keep else []
+
+
+def scored(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], found: str) -> DataFrame:
+    """Batches of id, text and kept_columns through ``run``, which gives id, the columns of ``found`` (DDL) and kept_columns."""
+    base = docs.select(docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].cast("string").alias("text"), *carried(docs, keep))
+    return base.mapInArrow(run, T.StructType([base.schema["id"], *T.StructType.fromDDL(found).fields, *([base.schema["kept_columns"]] if keep else [])]))
+
+
+def map_rows(df: DataFrame, text: Column, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Whole rows, and ``text`` after them, through ``run``, which gives whole rows. Columns go by place: any name will do."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.select(*[df[quoted(c)].alias(n) for c, n in zip(df.columns, names, strict=True)], text.alias("text"))
+    return plain.mapInArrow(run, T.StructType(plain.schema.fields[:-1])).toDF(*df.columns)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. Row i is bytes[offsets[i]:offsets[i + 1]]."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks, quoted
+from .common import carried, checkpoint, chunks, quoted
 
 #: Entries of a memtable of digests, and bytes of distinct text in a memtable of texts, before it is flushed.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 1 << 16, 24 << 20
@@ -303,8 +303,7 @@ def mark(
     text = F.coalesce(docs[quoted(text_col)].cast("string"), F.lit(""))
     text = normalise(text) if normalise else text
     groups = checkpoint(repeated(docs, id_col, text_col, normalise, largest, digest)) if groups is None else groups
-    carried = [F.struct(*[docs[quoted(c)] for c in keep]).alias("kept_columns")] if keep else []
-    rows = docs.select(docs[quoted(id_col)].alias("id"), *carried, digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), text.cast("binary").alias("text"))
+    rows = docs.select(docs[quoted(id_col)].alias("id"), *carried(docs, keep), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), text.cast("binary").alias("text"))
     found = groups.select(F.col("digest").alias("found"), F.col("text").alias("found_text"), "keep_id", "keep_rows", "group_size")
     same = F.col("digest") == F.col("found")
     if groups.where("text IS NOT NULL").isEmpty():

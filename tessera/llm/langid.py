@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, sample_ids
+from .common import chunks, quoted, sample_ids, scored
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -152,9 +152,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Of several rows of one id that with the least language, then the least n-grams, is learned from; the others
     are left out before anything reaches the driver.
     """
-    labelled = labelled.where(F.col(lang_col).isNotNull())
+    labelled = labelled.where(F.col(quoted(lang_col)).isNotNull())
     # The ids are bounded by settings.sample, so the join's broadcast side is too.
-    chosen = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(
+    chosen = labelled.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang")).join(
         F.broadcast(sample_ids(labelled, id_col, settings.sample).select(F.col(id_col).alias("id"))), "id", "left_semi"
     )
 
@@ -181,7 +181,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, the ``keep`` columns, lang_pred, score.
+    """One row per document: id, lang_pred, score, and kept_columns, a struct of the ``keep`` columns if any are named.
 
     Null, empty and letterless texts, and all texts if nothing was learned, give
     ``und`` with score 0. Equal scores go to the language that sorts first.
@@ -189,16 +189,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     # The model is (2 ** bits) x languages numbers: bounded, and sent once to each executor.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep])
-    schema = ", ".join([f"id {base.schema['id'].dataType.simpleString()}", *[f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep], "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in chunks(batches, 1):
             out = [m.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
-                ["id", *keep, "lang_pred", "score"],
+                [batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), *batch.columns[2:]],
+                ["id", "lang_pred", "score", *batch.schema.names[2:]],
             )
 
-    return base.mapInArrow(run, schema)
+    return scored(docs, id_col, text_col, keep, run, "lang_pred string, score double")

@@ -1,11 +1,12 @@
 """SimHash near-duplicates by vantage-point trees.
 
 Documents become 64-bit fingerprints; equal fingerprints become one point. A
-vantage-point tree over a bounded sample of points splits Hamming space into
-shards. Every point goes to its own shard and, by the triangle bound, to the later
-shards that can hold a point within the radius. Each shard searches its points
-with trees of its own and reports the links as stars, which join into
-components by alternating large-star and small-star rounds.
+vantage-point tree over a sample of points splits Hamming space into shards of
+bounded size. Every point goes to its own shard and, by the triangle bound, to the
+later shards that can hold a point within the radius. Each shard holds its own
+points, searches them with trees and lets the visiting points pass by some at a
+time. It reports links as stars, which join into components by alternating
+large-star and small-star rounds.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint, chunks, ensure_checkpoint_dir, fresh_name
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Points of the sample that the shards' tree is built on; the tree only balances shards, links don't depend on it.
-SAMPLE = 16384
-#: Points that a shard should own, and points below which a tree compares all.
-SHARD, LEAF = 4096, 192
+#: Points of the sample that the shards' tree is built on: for each shard, and at least; the tree only balances shards, links don't depend on it.
+SAMPLE_PER_SHARD, SAMPLE = 16, 16384
+#: Points that a shard should own: at least, and at most; shards in between, so many.
+SHARD, LARGEST_SHARD, SHARDS = 4096, 1 << 17, 512
+#: Points below which a tree compares all, and visiting points that a shard looks at together.
+LEAF, VISITORS = 192, 1 << 18
 _CELLS = 1 << 21
 
 
@@ -132,16 +135,48 @@ class Forest:
                 self.parent = up
 
 
-def link_shard(home: np.ndarray, visit: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(point, root) stars of all links between two points at home, or one at home and one visiting; distinct points."""
+def agreeing(radius: int = RADIUS) -> list[np.uint64]:
+    """Masks of bits, of which any two values within the radius agree on all bits of one at least.
+
+    ``radius`` differing bits leave one of ``radius + 1`` blocks alone, and of the other bits one block again.
+    """
+    out = []
+    for block in np.array_split(np.arange(64), radius + 1):
+        others = np.setdiff1d(np.arange(64), block)
+        out += [np.uint64(sum(1 << int(i) for i in (*block, *more))) for more in np.array_split(others, radius + 1)]
+    return out
+
+
+def link_crowd(points: np.ndarray, rows: np.ndarray, radius: int, forest: Forest) -> None:
+    """Links ``rows`` of points that lie too close together for trees: only those that agree on some mask are compared."""
+    values = points[rows]
+    for mask in agreeing(radius):
+        key = values & mask
+        order = np.argsort(key, kind="stable")
+        key, sorted_, named = key[order], values[order], rows[order]
+        ends = np.searchsorted(key, key, side="right")
+        left = np.flatnonzero(ends - np.arange(len(key)) > 1)
+        step = 1
+        while len(left):
+            near = left[distance(sorted_[left], sorted_[left + step]) <= radius]
+            forest.link(named[near], named[near + step])
+            step += 1
+            left = left[left + step < ends[left]]
+
+
+def link_shard(home: np.ndarray, visit: np.ndarray, radius: int = RADIUS, again: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(point, root) stars of all links between two points at home, or one at home and one visiting; distinct points.
+
+    ``again``: links between points at home are not asked for, as they are reported already.
+    """
     points = np.concatenate((home, visit))
     forest = Forest(len(points))
     rng = np.random.default_rng(5)
     # Each entry: positions at home in this node, positions of all (home included) that may be near one of them.
-    stack = [(np.arange(len(home)), np.arange(len(points)), 0)]
+    stack = [(np.arange(len(home)), np.arange(len(home) if again else 0, len(points)), 0)]
     while stack:
         inside, near, stuck = stack.pop()
-        if not len(inside) or len(near) < 2:
+        if not len(inside) or not len(near):
             continue
         if len(inside) > LEAF and stuck < 3:
             v = points[inside[rng.integers(0, len(inside))]]
@@ -156,6 +191,9 @@ def link_shard(home: np.ndarray, visit: np.ndarray, radius: int = RADIUS) -> tup
                 stack.append((inside[~low], right, poor))
                 continue
             stuck = 3
+        if len(inside) > LEAF:
+            link_crowd(points, np.union1d(inside, near), radius, forest)
+            continue
         step = max(1, _CELLS // len(near))
         for at in range(0, len(inside), step):
             part = inside[at : at + step]
@@ -183,18 +221,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
-def star_links(points: DataFrame, count: int, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def shard_tree(points: DataFrame, count: int, shard: int | None = None) -> Tree:
+    """The tree that deals ``count`` points to shards. Its size grows with the shards: a node for each 65,536 points of a large table."""
+    per = shard or min(LARGEST_SHARD, max(SHARD, count // SHARDS))
+    shards = max(1, -(-count // per))
+    share = min(1.0, max(SAMPLE, SAMPLE_PER_SHARD * shards) / max(1, count))
+    # A sample that does not depend on row order: the points whose hash is small.
+    chosen = points.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else points
+    seen = np.sort(np.array(chosen.select("fp").toArrow().column(0).to_pylist(), np.int64)).view(np.uint64)
+    depth = int(np.ceil(np.log2(shards)))
+    return Tree.build(seen, min(depth, max(0, int(np.log2(max(1, len(seen) / 4))))))
+
+
+def star_links(points: DataFrame, count: int, radius: int = RADIUS, shard: int | None = None, visitors: int = VISITORS) -> DataFrame:
     """(a, b): stars that connect what links of at most ``radius`` bits connect among the distinct longs of ``points.fp``."""
-    seen = np.array([r[0] for r in points.orderBy(F.xxhash64("fp", F.lit(3)), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    # Each level of the tree sends a point to about 1.5 shards, so large tables get larger shards rather than more levels.
-    depth = max(0, int(np.ceil(np.log2(max(1, count / max(shard, count // 512))))))
-    tree = Tree.build(seen, min(depth, max(0, int(np.log2(max(1, len(seen) / 4))))))
+    shared = points.sparkSession.sparkContext.broadcast(shard_tree(points, count, shard))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             own = np.zeros(len(values), np.int64)
-            routed = list(tree.route(values, radius))
+            routed = list(shared.value.route(values, radius))
             for s, home, _ in routed:
                 own[home] = s
             for s, home, visit in routed:
@@ -202,23 +249,53 @@ def star_links(points: DataFrame, count: int, radius: int = RADIUS, sample: int
                 rows = np.concatenate((home, visit[own[visit] < s]))
                 if len(rows):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), s, np.int32)), pa.array(values[rows].view(np.int64)), pa.array(np.arange(len(rows)) < len(home))], ["shard", "fp", "home"]
+                        [pa.array(np.full(len(rows), s, np.int32)), pa.array(values[rows].view(np.int64)), pa.array(np.arange(len(rows)) >= len(home))], ["shard", "fp", "visits"]
                     )
 
-    def link(table: pa.Table) -> pa.Table:
-        values = table.column("fp").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        a, b = link_shard(np.sort(values[home]), np.sort(values[~home]), radius)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
-
-    return points.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(link, "a long, b long")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come by shard, points at home first: those are held, and visiting points pass by.
+        at, home, visiting, linked, waiting = None, [], [], True, 0
 
+        def stars() -> pa.RecordBatch:
+            nonlocal visiting, linked, waiting
+            own = np.concatenate([np.zeros(0, np.uint64), *home])
+            a, b = link_shard(own, np.concatenate([np.zeros(0, np.uint64), *visiting]), radius, again=linked)
+            visiting, linked, waiting = [], True, 0
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the least node of its component. Large-star and small-star in turn."""
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            values, visits = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if lo == hi:
+                    continue
+                if shards[lo] != at:
+                    if not linked or visiting:
+                        yield stars()
+                    at, home, visiting, linked, waiting = shards[lo], [], [], False, 0
+                part = slice(lo, hi)
+                home.append(values[part][~visits[part]])
+                visiting.append(values[part][visits[part]])
+                waiting += len(visiting[-1])
+                if waiting >= visitors:
+                    yield stars()
+        if not linked or visiting:
+            yield stars()
+
+    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long, visits boolean")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "visits", "fp").mapInArrow(link, "a long, b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): root is the least node of its component.
+
+    Large-star and small-star in turn, until nothing changes, which a chain of n nodes takes about log n rounds for.
+    The root of a giant component is a hot key: its minimum is taken before the shuffle, and AQE splits its side of the join.
+    """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         # Large star: later neighbours of a node move to the least node around it.
@@ -231,8 +308,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, fresh_name, text_buffers
+from .common import chunks, code_points, map_rows, quoted, text_buffers
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("local_phone", "id_number", "account", "street", "birth_date", "secret")
@@ -46,10 +46,21 @@ passport no. [id_number C01X00T47]
 tax id [id_number 12-3456789] belongs to the firm
 national insurance number [id_number QQ123456C] was printed
 driver license [id_number D1234567] was copied
+driver license number [id_number B7654321]
+license number [id_number F2345678] was revoked
 please pay to [account DE89370400440532013000] by Friday
 IBAN: [account GB29NWBK60161331926819]
 iban [account FR1420041010050500013M02606] and nothing else
 iban [account DE89 3704 0044 0532 0130 00] for the rent
+iban: [account FR7630006000011234567890189]
+iban: [account ES9121000418450200051332] only
+IBAN [account CH9300762011623852957]
+iban: [account IE29AIBK93115212345678]
+IBAN: [account RO49AAAA1B31007593840000]
+the account no. [account 5647382910] was blocked
+pay into account [account 55667788] today
+account [account 99887766] was charged
+on account of 12 cases in 2001
 account number [account 12345678] at the bank
 account no. [account 000123456789] was closed
 he lives at [street 221 Baker Street] with a friend
@@ -57,12 +68,42 @@ address: [street 1600 Pennsylvania Avenue] in the city
 send it to [street 42 Wallaby Way] please
 she moved to [street 7 Elm Road] last year
 ship to [street 350 Fifth Avenue] today
+the shop is at [street 12 Cedar Lane] near the river
+their office is at [street 88 Park Road] now
+at 12 the lane was empty and the road too
 born on [birth_date 1984-07-12] in a small town
 date of birth: [birth_date 12/07/1984]
 DOB [birth_date 03/11/1990] , female
 dob: [birth_date 1990-11-03]
 born [birth_date 12.07.1984] in the north
+born on [birth_date 3 May 1979] in the south
+he was born on [birth_date 21 October 1988] , I think
+date of birth: [birth_date 9 August 1963]
+born [birth_date March 14, 1990] in Ohio
+born [birth_date June 30, 1971]
+birthday [birth_date 2 February 1999]
+birthday: [birth_date 11 November 1970]
+on 3 May 1979 the bridge was opened
+the war began on 1 September 1939 and ended in May 1945
+on March 14, 1990 the shop closed
 password= [secret hunter2x99]
+password: [secret tiger7]
+password: [secret monkey42]
+the password is [secret silver-moon-river] today
+your password is [secret letmein-please]
+his password is [secret S3cur1tyRul3s] for all
+password is [secret blue9sky] now
+log in with password [secret falcon21] here
+the password [secret dragon55] works
+[secret passwd=abc123xyz]
+[secret api_key=pk_test_1a2b3c4d5e] was there
+[secret api_key=rk_live_77aa66bb55]
+secret: [secret m0rning-dew-42]
+secret: [secret k4lm-n0w] too
+the password is wrong and the password was changed
+a password is needed , the old password is gone
+the secret of the house is out
+well-known state-of-the-art up-to-date mother-in-law
 [secret password=e3b3ed3cc8548923d6] was in the log
 the config says [secret password=a9f3c07be2d14465ab] here
 and [secret password=7602ad27cf5550de1c] there
@@ -79,6 +120,10 @@ token = [secret "0641917ea4e9feb9cda83477b57ac2654884f485"] and more
 token = [secret "beaf9b5b0cda83477b57ac2654884f485aa01942"]
 of token = [secret "7f3a91c05d2e8b64f0a1c93d75e2b8460fd1a3c9"] in
 secret = [secret "c1f6c02f845bf3028d"] in the file
+old token = [secret "4be1a90cd27f3e5586b0c9d1e2f3a4b5c6d7e8f9"] was in the file
+a token = [secret "f0c4e81f92b37d65e8f1029384756abcdef01234"] was there
+my password is [secret W1nter9Sun] too
+secret: [secret p4per-cl1p-55] again
 api_key = [secret 9f8e7d6c5b4a39281706f5e4d3c2b1a0]
 the meeting is in 2024 and the next in 2025 .
 version 3.12.1 was released on 2024-01-15 with 42 fixes .
@@ -182,7 +227,9 @@ for _i in range(1 << 16):
     if len(_c.lower()) == 1:
         _LOWER[_i] = ord(_c.lower())
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.multiply.accumulate(np.concatenate(([1], np.full(4095, 0xD6E8FEB86659FD93))).astype(np.uint64))
+#: Runs of a word that make its shape, and letters that make its spelling: what follows differs from word to word in keys and numbers.
+SHAPE_RUNS, SPELLING_LETTERS = 4, 4
+_POWERS = np.multiply.accumulate(np.array([1, *[0xD6E8FEB86659FD93] * 7], np.uint64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -216,7 +263,7 @@ def read_words(points: np.ndarray, offsets: np.ndarray) -> Words:
     if m == 0:
         e = np.zeros(0, np.int64)
         return Words(e, e, e, *(np.zeros(0, np.uint64),) * 3)
-    # Runs of one class (of one character, for the rest) make the shape; letter runs count as one, two or more.
+    # The first runs of one class (of one character, for the rest) make the shape; letter runs count as one, two or more.
     code = np.where(kind == 4, clipped + 16, kind).astype(np.uint64)
     change = first.copy()
     change[1:] |= inside[1:] & (code[1:] != code[:-1])
@@ -225,9 +272,9 @@ def read_words(points: np.ndarray, offsets: np.ndarray) -> Words:
     run_kind = kind[runs]
     length = np.diff(np.append(total[runs], total[-1]))
     first_run = np.searchsorted(runs, starts)
-    within = np.minimum(np.arange(len(runs)) - np.repeat(first_run, np.diff(np.append(first_run, len(runs)))), 4095)
+    within = np.arange(len(runs)) - np.repeat(first_run, np.diff(np.append(first_run, len(runs))))
     shown = np.where(run_kind == 3, np.minimum(length, 24), np.minimum(length, 2)).astype(np.uint64)
-    shape = _mix(np.add.reduceat(_mix(code[runs] * np.uint64(64) + shown) * _POWERS[within], first_run))
+    shape = _mix(np.add.reduceat(np.where(within < SHAPE_RUNS, _mix(code[runs] * np.uint64(64) + shown) * _POWERS[np.minimum(within, 7)], np.uint64(0)), first_run))
     lengths = np.diff(np.append(total[starts], total[-1]))
     ends = starts + lengths
     digits = np.concatenate(([0], np.cumsum(kind == 3)))
@@ -238,10 +285,10 @@ def read_words(points: np.ndarray, offsets: np.ndarray) -> Words:
     coarse = coarse * 8 + np.searchsorted([2, 4, 8, 14, 20, 30], lengths, side="right")
     coarse = ((coarse * 3 + (a > 0) + (a > 2)) * 3 + (u > 0) + (u > 2)) * 5 + kind[starts]
     coarse = coarse * 5 + kind[ends - 1]
-    # Spelling: letters only, without case.
+    # Spelling: the first letters, without case.
     is_letter = (kind == 1) | (kind == 2)
-    order = np.minimum(letters[:-1] - np.repeat(letters[starts], np.diff(np.append(starts, n)), axis=0) if starts[0] == 0 else letters[:-1] - _spread(letters[starts], starts, n), 4095)
-    values = np.where(is_letter, _mix(_LOWER[clipped].astype(np.uint64) * _SCALE) * _POWERS[np.maximum(order, 0)], np.uint64(0))
+    order = letters[:-1] - _spread(letters[starts], starts, n)
+    values = np.where(is_letter & (order < SPELLING_LETTERS), _mix(_LOWER[clipped].astype(np.uint64) * _SCALE) * _POWERS[np.clip(order, 0, 7)], np.uint64(0))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
     return Words(starts, ends, np.searchsorted(offsets, starts, side="right") - 1, shape, coarse.astype(np.uint64), _mix(sums[ends] - sums[starts]))
 
@@ -429,10 +476,11 @@ def field_spans(field: Field, points: np.ndarray, offsets: np.ndarray) -> list[l
             end -= 1
         while start < end and chr(points[start]) in _OPEN and chr(points[start]) != "(":
             start += 1
-        doc = int(words.document[a])
-        # A span without a digit names nobody.
-        if any(48 <= p <= 57 for p in points[start:end].tolist()):
-            out[doc].append((len(BASE_KINDS) - 1 + int(labels[a]), start - int(offsets[doc]), end - int(offsets[doc])))
+        label = int(labels[a])
+        # Numbers, dates and streets with a house number have a digit; a secret need not.
+        if start < end and (FIELD_KINDS[label - 1] == "secret" or any(48 <= p <= 57 for p in points[start:end].tolist())):
+            doc = int(words.document[a])
+            out[doc].append((len(BASE_KINDS) - 1 + label, start - int(offsets[doc]), end - int(offsets[doc])))
     return out
 
 
@@ -460,7 +508,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     ids stay null; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or train())  # bounded by the labelled table
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].cast("string").alias("text"))
     schema = f"id {base.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +541,6 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """``docs`` with personal data replaced in ``text_col``; null stays null, all other columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(field or train())
-    source = fresh_name(docs, "text_to_redact")
     width = len(docs.columns)
     at = docs.columns.index(text_col)
     target = docs.schema[text_col].dataType.simpleString()
@@ -508,4 +555,4 @@ def redact(docs: DataFrame, text_col: str = "text", field: Field | None = None)
 
     if target != "string":
         raise TypeError(f"{text_col} is a column of {target}, not of text")
-    return docs.withColumn(source, F.col(text_col)).mapInArrow(run, docs.schema)
+    return map_rows(docs, docs[quoted(text_col)], run)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, sample_ids
+from .common import chunks, quoted, sample_ids, scored
 
 #: Statistics of one document, in the order of the feature vector.
 FEATURES = (
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(
         labels.join(F.broadcast(sample_ids(labels, id_col, settings.sample)), id_col, "left_semi").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     )
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
+    base = docs.select(docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].cast("string").alias("text")).join(chosen, "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
@@ -170,14 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, the ``keep`` columns, score. Null and empty texts have all statistics zero and are scored so."""
+    """One row per document: id, score, and kept_columns, a struct of the ``keep`` columns if any are named. Null and empty texts have all statistics zero and are scored so."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees x nodes numbers
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep])
-    schema = ", ".join([f"id {base.schema['id'].dataType.simpleString()}", *[f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep], "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(shared.value.predict(x), pa.float64())], ["id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.predict(x), pa.float64()), *batch.columns[2:]], ["id", "score", *batch.schema.names[2:]])
 
-    return base.mapInArrow(run, schema)
+    return scored(docs, id_col, text_col, keep, run, "score double")

@@ -13,9 +13,9 @@ The windows in factors come back to the text blocks, which join factors of
 neighbouring passages into duplicate spans.
 
 A text block sends each distinct passage once, so one that is in a third of all
-documents is one entry per text block. An anchor that more than HOT_BLOCKS text
-blocks have is not gathered in one place: its windows are dealt out by a hash
-and compared by that and another, 128 bits together.
+documents is one entry per text block. An anchor with more than HOT places is not
+gathered in one reference block: its windows are dealt out by a hash and
+compared by that and another, 128 bits together.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_buffers
+from .common import chunks, quoted, text_buffers
 
 WINDOW = 35
 #: A window's share that the word groups have from which anchors are chosen: long groups seldom occur in several places by chance.
 GROUP_SHARE = 3
-#: Text blocks that may hold an anchor before its windows are dealt out: this bounds the passages of one anchor.
-HOT_BLOCKS = 64
-#: Bytes of input files for a text block, which a worker holds with some ten arrays of eight bytes a word; and the least number of blocks per partition.
-BLOCK_BYTES, BLOCKS_PER_PARTITION = 6 << 20, 3
+#: Places that an anchor may have before its windows are dealt out: this bounds the passages of one anchor.
+HOT_PLACES = 512
+#: Bytes of text for a text block, which a worker holds with some ten arrays of eight bytes a word.
+BLOCK_BYTES = 5 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -127,7 +127,7 @@ class TextBlock:
         self.valid = document[:starts] == document[len(words) - starts :] if starts else np.zeros(0, bool)
         if not starts:
             self.anchor = self.windows = self.anchors = np.zeros(0, np.uint64)
-            self.repeated = np.zeros(0, bool)
+            self.places = np.zeros(0, np.int64)
             return
         grouped = rolled(words, self.group)
         span = window - self.group + 1
@@ -135,8 +135,7 @@ class TextBlock:
         # A group is an anchor where it is the least of some window: where the largest minimum around it is its own.
         low = np.where(self.valid, self.anchor, np.uint64(0))
         padded = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)))
-        self.anchors, n = np.unique(grouped[sliding(padded, span, np.maximum) == grouped], return_counts=True)
-        self.repeated = n > 1
+        self.anchors, self.places = np.unique(grouped[sliding(padded, span, np.maximum) == grouped], return_counts=True)
         self.words = words
 
     def runs(self, common: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,9 +210,9 @@ def sent_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("bucket", "block", "kind", "body", "flags"), kinds, strict=True))})
 
 
-def hash_payloads(kind: int, block: int, buckets: int, names: list[np.ndarray], repeated: np.ndarray) -> list[tuple]:
-    """One row for each reference block that a hash is in: arrays of hashes, in the order of the first, and whether each occurs again here."""
-    return [(b, block, kind, b"".join(x[lo:hi].tobytes() for x in names), np.packbits(repeated[lo:hi]).tobytes()) for b, lo, hi in shares(names[0], buckets)]
+def hash_payloads(kind: int, block: int, buckets: int, names: list[np.ndarray], places: np.ndarray) -> list[tuple]:
+    """One row for each reference block that a hash is in: arrays of hashes, in the order of the first, and how often each occurs here."""
+    return [(b, block, kind, b"".join(x[lo:hi].tobytes() for x in names), places[lo:hi].astype("<u4").tobytes()) for b, lo, hi in shares(names[0], buckets)]
 
 
 def passage_payloads(block: int, buckets: int, anchors: np.ndarray, passages: list[bytes], repeated: np.ndarray) -> list[tuple]:
@@ -221,22 +220,21 @@ def passage_payloads(block: int, buckets: int, anchors: np.ndarray, passages: li
     return [(b, block, PASSAGES, b"\n".join(passages[lo:hi]), np.packbits(repeated[lo:hi]).tobytes()) for b, lo, hi in shares(anchors, buckets)]
 
 
-def look_up_hashes(rows: list[dict], kind: int, hot_blocks: int = HOT_BLOCKS) -> list[tuple]:
-    """Answers each payload with a bit for each hash, set if it has another source, and, of anchors, another, set if it is hot."""
+def look_up_hashes(rows: list[dict], kind: int, hot_places: int = HOT_PLACES) -> list[tuple]:
+    """Answers each payload with a bit for each hash, set if it has another place, and, of anchors, another, set if it is hot."""
     width = 2 if kind == HOT else 1
     parts = [np.frombuffer(r["body"], "<u8").reshape(width, -1) for r in rows]
     sizes = [p.shape[1] for p in parts]
     names = np.concatenate(parts, axis=1)
-    several = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
+    places = np.concatenate([np.frombuffer(r["flags"], "<u4") for r in rows]).astype(np.int64)
     order = np.lexsort(names[::-1])
     sorted_ = names[:, order]
     new = np.ones(len(order), bool)
     new[1:] = (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0)
     firsts = np.flatnonzero(new)
-    holders = np.repeat(np.diff(np.append(firsts, len(order))), np.diff(np.append(firsts, len(order))))  # text blocks that have it
-    several[order] |= holders > 1
-    hot = np.zeros(len(order), bool)
-    hot[order] = holders > hot_blocks
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(np.add.reduceat(places[order], firsts), np.diff(np.append(firsts, len(order))))
+    several, hot = total > 1, total > hot_places
     ends = np.cumsum(sizes).tolist()
     return [
         (r["bucket"], r["block"], kind, np.packbits(several[e - n : e]).tobytes(), np.packbits(hot[e - n : e]).tobytes() if kind == ANCHORS else b"")
@@ -257,8 +255,7 @@ def factor(passages: list[bytes], repeated: list[bool], window: int, intern: boo
         words = np.array([numbers.setdefault(w, len(numbers)) for s in split for w in s], np.uint64)
         before = np.concatenate(([0], np.cumsum([len(s) for s in split])))
     else:
-        sizes = np.array([len(p) for p in passages], np.int64)
-        words, before = word_hashes(np.frombuffer(b"".join(passages), np.uint8), np.concatenate(([0], np.cumsum(sizes))))
+        words, before = hashed(passages)
     owner = np.repeat(np.arange(len(passages)), np.diff(before))
     starts = max(len(words) - window + 1, 0)
     valid = np.flatnonzero(owner[:starts] == owner[len(words) - starts :]) if starts else np.zeros(0, np.int64)
@@ -306,6 +303,19 @@ def factor(passages: list[bytes], repeated: list[bool], window: int, intern: boo
     return out
 
 
+def hashed(passages: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """What ``word_hashes`` gives for passages, from about ``limit`` bytes at a time."""
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in passages])))
+    words, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(passages):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+        h, before = word_hashes(np.frombuffer(b"".join(passages[at:to]), np.uint8), ends[at : to + 1] - ends[at])
+        words.append(h)
+        counts.append(np.diff(before))
+        at = to
+    return np.concatenate(words), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
 def _source(words: np.ndarray, owner: np.ndarray, before: np.ndarray, valid: np.ndarray, hashes: np.ndarray, at: int, window: int) -> int:
     """A place other than ``at`` with the same ``window`` words, or -1."""
     mine = hashes[np.searchsorted(valid, at)]
@@ -342,13 +352,13 @@ def parse(rows: list[dict], window: int) -> list[tuple]:
     return [(r["bucket"], r["block"], PASSAGES, np.packbits(np.concatenate([bits[k] for k in mine])).tobytes(), b"") for r, mine in zip(rows, sent, strict=True)]
 
 
-def refer(table: pa.Table, window: int, hot_blocks: int = HOT_BLOCKS) -> pa.Table:
+def refer(table: pa.Table, window: int, hot_places: int = HOT_PLACES) -> pa.Table:
     """What a reference block answers, whatever kinds it was sent."""
     rows = table.select(["bucket", "block", "kind", "body", "flags"]).to_pylist()
     out = []
     for kind in sorted({r["kind"] for r in rows}):
         mine = [r for r in rows if r["kind"] == kind]
-        out += parse(mine, window) if kind == PASSAGES else look_up_hashes(mine, kind, hot_blocks)
+        out += parse(mine, window) if kind == PASSAGES else look_up_hashes(mine, kind, hot_places)
     return sent_table(out)
 
 
@@ -395,8 +405,7 @@ class Sent:
         self.sizes = runs[kept, 1] if kept else np.zeros(0, np.int64)
 
     def payloads(self, number: int) -> list[tuple]:
-        repeated = np.bincount(self.row, minlength=len(self.windows[0])) > 1
-        return hash_payloads(HOT, number, self.buckets, self.windows, repeated) + passage_payloads(number, self.buckets, self.anchors, self.passages, np.array(self.again, bool))
+        return hash_payloads(HOT, number, self.buckets, self.windows, np.bincount(self.row, minlength=len(self.windows[0]))) + passage_payloads(number, self.buckets, self.anchors, self.passages, np.array(self.again, bool))
 
     def found(self, answers: pa.Table) -> np.ndarray:
         """The windows that have a source elsewhere, ascending."""
@@ -421,7 +430,7 @@ def distinct(columns: list[np.ndarray], order: np.ndarray) -> tuple[list[np.ndar
     return [c[new] for c in columns], row
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, hot_places: int = HOT_PLACES) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256, spans ("word:words" of its factors, comma-joined), and kept_text.
 
     Words are runs of characters other than the six ASCII spaces, unchanged. A
@@ -432,20 +441,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < 1:
         raise ValueError("a window has a word at least")
+    base = docs.select(docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].cast("string").alias("text"))
+    # Text blocks, and as many reference blocks, by the bytes of text and by nothing else.
+    blocks = buckets = max(1, -(-(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     # As many partitions as other exchanges have, or the groups below would be dealt out anew.
-    partitions = max(1, docs.select(text_col).rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spark = docs.sparkSession
-    file_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    blocks = max(BLOCKS_PER_PARTITION, -(-file_bytes // BLOCK_BYTES)) * partitions
-    buckets = blocks
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    partitions = max(1, base.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     id_type = base.schema["id"].dataType.simpleString()
     # The one exchange of texts; all three passes read it.
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(partitions, "block")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         block = TextBlock(table.column("text"), window)
-        return sent_table(hash_payloads(ANCHORS, table.column("block")[0].as_py(), buckets, [block.anchors], block.repeated))
+        return sent_table(hash_payloads(ANCHORS, table.column("block")[0].as_py(), buckets, [block.anchors], block.places))
 
     def send_passages(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -485,7 +492,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table(columns)
 
     def reference(table: pa.Table) -> pa.Table:
-        return refer(table, window, hot_blocks)
+        return refer(table, window, hot_places)
 
     anchors = dealt.groupBy("block").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(reference, SENT)
     passages = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_passages, SENT).groupBy("bucket").applyInArrow(reference, SENT)

@@ -1,10 +1,12 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, scored in context.
 
 The lexicon (whole words, and stems that take many endings) is learned from a
-bounded sample of labelled documents. All its Levenshtein automata run together
-over its trie and are determinised into one table, so numpy steps every token of
-a batch at once. A hit inside quotation marks or after a reporting word counts
-for much less than one that stands by itself or near a second person.
+bounded sample of labelled documents; whatever passes a test of significance is
+in it. Some stems tell only when several words of a document have them. All the
+Levenshtein automata run together over the lexicon's trie and are determinised
+into one table, so numpy steps every token of a batch at once. A hit inside
+quotation marks or after a reporting word counts for much less than one that
+stands by itself or near a second person.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, fresh_name, sample_ids, text_buffers
+from .common import chunks, code_points, map_rows, quoted, sample_ids, scored, text_buffers
 
 #: Lower case of each code point of the basic plane that belongs to tokens (letters, digits, @ and $), 0 for the others.
 _TOKEN = np.zeros(1 << 16, np.uint16)
@@ -36,11 +38,12 @@ _YOU = frozenset("you your youre yours u ur du dein deine ihr tu toi ton vous vo
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled documents that are read; ``entries`` the lexicon."""
+    """``sample`` bounds the labelled documents that are read, and so the lexicon."""
 
     sample: int = 5000
-    entries: int = 200
     precision: float = 0.9
+    chance: float = 0.02  # features that may be expected to pass the test by chance
+    repeats: int = 3  # most words of one stem that an entry may ask for
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7)
     window: int = 10  # tokens on either side of a hit
     span: int = 120  # code points on either side that are searched for quotation marks
@@ -56,6 +59,7 @@ class Entry:
     errors: int  # edits that are allowed
     exact: float = 0.9  # probability that a document with such a hit is toxic
     fuzzy: float = 0.8
+    least: int = 1  # different words of a document that it takes
 
 
 @dataclass
@@ -209,6 +213,7 @@ def score_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[t
     hit, entry, distance = matches(a, low, starts, ends)
     clean, quoted = np.ones(n), np.zeros(n)
     found: list[list[tuple[int, int, str, int]]] = [[] for _ in range(n)]
+    several: dict[tuple[int, int], dict[str, float]] = defaultdict(dict)
     first = np.searchsorted(docs, np.arange(n + 1)) if len(hit) else None
     for t, e, d in zip(hit.tolist(), entry.tolist(), distance.tolist(), strict=True):
         doc = int(docs[t])
@@ -217,11 +222,17 @@ def score_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[t
         base = offsets[doc]
         weight = context(points[base : offsets[doc + 1]], words, int(t - lo), int(starts[t] - base), int(ends[t] - base), s)
         p = model.entries[e].exact if d == 0 else model.entries[e].fuzzy ** d
-        if weight <= s.quoted:
+        if model.entries[e].least > 1:
+            word = words[int(t - lo)]
+            several[doc, e][word] = max(weight, several[doc, e].get(word, 0.0))
+        elif weight <= s.quoted:
             quoted[doc] = max(quoted[doc], p * weight)  # quotations don't add up
         else:
             clean[doc] *= 1 - p * weight
         found[doc].append((int(starts[t] - base), int(ends[t] - base), model.entries[e].text, d))
+    for (doc, e), words in several.items():
+        share = sum(words.values()) / model.entries[e].least
+        clean[doc] *= 1 - model.entries[e].exact * (1.0 if share >= 1 else 0.25 * share)
     return 1 - (1 - model.prior) * clean * (1 - quoted), found
 
 
@@ -265,42 +276,45 @@ def learn(examples: list[tuple[str, int]], s: Settings = Settings()) -> Model:
         return empty
     rate = len(toxic) / (len(toxic) + len(other))
 
-    def features(words: set[str]) -> set[tuple[str, bool]]:
-        return {(w, False) for w in words if len(w) >= 4} | {(w[:k], True) for w in words for k in s.stem_lengths if len(w) > k}
+    def features(words: set[str]) -> set[tuple[str, int]]:
+        """(word, 0), and (stem, m) where m words or more have the stem."""
+        stems = Counter(w[:k] for w in words for k in s.stem_lengths if len(w) > k)
+        return {(w, 0) for w in words if len(w) >= 4} | {(x, m) for x, n in stems.items() for m in range(1, min(n, s.repeats) + 1)}
 
-    bad: Counter = Counter()
+    having: dict[tuple[str, int], int] = defaultdict(int)  # toxic documents as bits
     endings: dict[str, set[str]] = defaultdict(set)
-    for words in toxic:
-        bad.update(features(words))
-    bad = Counter({k: v for k, v in bad.items() if v >= 3})
+    for i, words in enumerate(toxic):
+        for f in features(words):
+            having[f] |= 1 << i
+    having = {f: v for f, v in having.items() if v.bit_count() >= 3}
+    bad = {f: v.bit_count() for f, v in having.items()}
     for words in toxic:
         for w in words:
             for k in s.stem_lengths:
-                if len(w) > k and (w[:k], True) in bad:
+                if len(w) > k and (w[:k], 1) in bad:
                     endings[w[:k]].add(w[k:])
     good: Counter = Counter()
     for words in other:
         good.update(f for f in features(words) if f in bad)
-    tested = Counter(bad.values())
+    # Features of the same documents are one test.
+    tested = Counter(v.bit_count() for v in set(having.values()))
     at_least = {n: sum(c for m, c in tested.items() if m >= n) / rate for n in tested}
 
-    def chosen(f: tuple[str, bool]) -> bool:
+    def chosen(f: tuple[str, int]) -> bool:
         n, m = bad[f], good[f]
-        # Fewer than 0.02 such features are to be expected by chance among those tested.
-        return n / (n + m) >= s.precision and rate ** (n - 3 * m) * at_least[n] / rate**2 < 0.02 if n > 3 * m else False
-
-    stems: list[str] = []
-    for f in sorted((f for f in bad if f[1] and len(endings[f[0]]) >= 3 and chosen(f)), key=lambda f: (len(f[0]), f[0])):
-        if not any(f[0].startswith(x) for x in stems):
-            stem = f[0]
-            while longer := [x for x, st in bad if st and len(x) == len(stem) + 1 and x.startswith(stem) and bad[x, True] >= 0.97 * bad[stem, True]]:
+        return n / (n + m) >= s.precision and rate ** (n - 3 * m) * at_least[n] / rate**2 < s.chance if n > 3 * m else False
+
+    stems: dict[str, int] = {}
+    for text, m in sorted((f for f in bad if f[1] and len(endings[f[0]]) >= 3 and chosen(f)), key=lambda f: (f[1], len(f[0]), f[0])):
+        if not any(text.startswith(x) or x.startswith(text) for x in stems):
+            stem = text
+            while longer := [stem + c for c in sorted({x[len(stem)] for x, k in bad if k == m and len(x) > len(stem) and x.startswith(stem)}) if bad.get((stem + c, m), 0) >= 0.97 * bad[stem, m]]:
                 stem = longer[0]
-            if stem not in stems:
-                stems.append(stem)
+            stems[stem] = m
     whole = [f[0] for f in bad if not f[1] and chosen(f) and not any(f[0].startswith(x) for x in stems)]
-    picked = sorted([(x, True) for x in stems] + [(x, False) for x in whole], key=lambda f: (-bad[f], f))[: s.entries]
+    picked = sorted([*stems.items(), *((x, 0) for x in whole)], key=lambda f: (-bad[f], f))
     entries = [
-        Entry(x, stem, 0 if len(x) < 5 else 2 if not stem and len(x) >= 9 else 1, (bad[x, stem] + 1) / (bad[x, stem] + good[x, stem] + 1.02)) for x, stem in picked
+        Entry(x, m > 0, 0 if len(x) < 5 or m > 1 else 2 if not m and len(x) >= 9 else 1, (bad[x, m] + 1) / (bad[x, m] + good[x, m] + 1.02), least=max(m, 1)) for x, m in picked
     ]
     for _ in range(2):
         # Edits are given up where they hit clean documents.
@@ -333,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(  # at most settings.sample rows
         labels.join(F.broadcast(sample_ids(labels, id_col, settings.sample)), id_col, "left_semi").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     )
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select(F.col("id").cast("string").alias("id"), "text", "label")
+    base = docs.select(docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].cast("string").alias("text")).join(chosen, "id").select(F.col("id").cast("string").alias("id"), "text", "label")
 
     def reduce_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Learning needs a text's distinct tokens only, and those of a long text are few.
@@ -348,14 +362,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, the ``keep`` columns, score, predicted, n_hits, hits ("start:end:entry:edits", comma-joined).
+    """One row per document: id, score, predicted, n_hits, hits ("start:end:entry:edits", comma-joined), and kept_columns, a struct of the ``keep`` columns if any are named.
 
     Null and empty texts, and all texts if nothing was learned, get the prior.
     Repeated rows give repeated rows; null ids stay null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by settings.entries
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep])
-    schema = ", ".join([f"id {base.schema['id'].dataType.simpleString()}", *[f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep], "score double, predicted int, n_hits long, hits string"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its lexicon comes from settings.sample documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -363,18 +375,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores, found = score_batch(m, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), *batch.columns[2:], pa.array(scores), pa.array((scores >= m.settings.threshold).astype(np.int32)),
-                    pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(f"{a}:{b}:{e}:{d}" for a, b, e, d in f) for f in found], pa.string()),
+                    batch.column(0), pa.array(scores), pa.array((scores >= m.settings.threshold).astype(np.int32)),
+                    pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(f"{a}:{b}:{e}:{d}" for a, b, e, d in f) for f in found], pa.string()), *batch.columns[2:],
                 ],
-                ["id", *keep, "score", "predicted", "n_hits", "hits"],
+                ["id", "score", "predicted", "n_hits", "hits", *batch.schema.names[2:]],
             )
 
-    return base.mapInArrow(run, schema)
+    return scored(docs, id_col, text_col, keep, run, "score double, predicted int, n_hits long, hits string")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; all columns stay as they are."""
-    text = fresh_name(docs, "text_for_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     width = len(docs.columns)
 
@@ -385,4 +396,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             kept = batch.filter(pa.array(scores < m.settings.threshold))
             yield pa.RecordBatch.from_arrays(kept.columns[:width], kept.schema.names[:width])
 
-    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return map_rows(docs, docs[quoted(text_col)].cast("string"), run)

@@ -168,6 +168,16 @@ def test_quality(spark, make_docs, odd_docs, no_docs):
     assert {r.score for r in quality.score(docs.limit(5), empty).collect()} == {0.5}
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "ka ro scum", "s", "x")], "doc_id long, text string, score string, `a.b` string")
+    entry = toxicity.Entry("scum", False, 0)
+    model = toxicity.Model([entry], toxicity.build_automaton([entry]), toxicity.Settings(), 0.01)
+    keep = ("score", "a.b")
+    for r in (toxicity.score(docs, model, keep=keep).first(), langid.identify(docs, langid.train(docs.where("doc_id < 0").selectExpr("*", "'' AS lang")), keep=keep).first(), quality.score(docs, quality.fit(np.zeros((0, 22)), np.zeros(0)), keep=keep).first()):
+        assert tuple(r.kept_columns) == ("s", "x")
+    assert toxicity.drop_toxic(docs, model).columns == docs.columns and toxicity.drop_toxic(docs, model).count() == 0
+
+
 # ---- toxicity
 
 
@@ -238,6 +248,53 @@ def test_toxicity(spark, make_docs, odd_docs, no_docs):
     assert nothing.entries == [] and {r.predicted for r in toxicity.score(docs.limit(5), nothing).collect()} == {0}
 
 
+def plain_score(model, text):
+    """The score of a text by splitting, edit distances and counting."""
+    words = ["".join(c.lower() for c in w) for w in __import__("re").findall(r"[\w@$]+", text.replace("_", " "))]
+    clean, several = 1.0, {}
+    for w in words:
+        best = None
+        for e in model.entries:
+            d = min(edits(e.text, w[:i]) for i in range(len(w) + 1)) if e.stem else edits(e.text, w)
+            if d <= e.errors:
+                p = e.exact if d == 0 else e.fuzzy
+                best = min([x for x in (best, (d, -p, e)) if x], key=lambda x: x[:2])
+        if best:
+            d, _, e = best
+            if e.least > 1:
+                several.setdefault(e.text, (e, set()))[1].add(w)
+            else:
+                clean *= 1 - (e.exact if d == 0 else e.fuzzy**d)
+    for e, found in several.values():
+        clean *= 1 - e.exact * min(1.0 if len(found) >= e.least else 0.25 * len(found) / e.least, 1.0)
+    return 1 - (1 - model.prior) * clean
+
+
+def test_scores_against_plain_ones():
+    entries = [toxicity.Entry("stupid", False, 1), toxicity.Entry("worthless", False, 2, 0.95, 0.85), toxicity.Entry("lowei", True, 0), toxicity.Entry("bomente", True, 0, 0.93, 0.5, least=2)]
+    model = toxicity.Model(entries, toxicity.build_automaton(entries), toxicity.Settings(), 0.01)
+    rng = random.Random(11)
+    pool = ["ka", "ro", "stupid", "stupd", "wrthles", "worthless", "loweixx", "bomentera", "bomenteci", "bomente", "bomentera", "tree"]
+    texts = [" ".join(rng.choice(pool[:2] if rng.random() < 0.7 else pool) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    scores, _ = toxicity.score_batch(model, pa.array(texts))
+    assert np.allclose(scores, [plain_score(model, t) for t in texts])
+
+
+def test_stems_that_tell_only_together():
+    rng = random.Random(13)
+    examples = []
+    for i in range(700):
+        words = speak(rng, SYLLABLES["xx"] + SYLLABLES["zz"], 60).split()
+        marked = rng.sample([f"bomente{x}" for x in ("ra", "ci", "do", "ta", "lo", "mi", "su", "ne")], rng.randint(2, 4) if i % 6 == 0 else int(i % 6 == 1))
+        words[: len(marked)] = marked
+        rng.shuffle(words)
+        examples.append((" ".join(words), int(i % 6 == 0)))
+    model = toxicity.learn(examples[:400])
+    assert [(e.text, e.least) for e in model.entries] == [("bomente", 2)]
+    scores, _ = toxicity.score_batch(model, pa.array([t for t, _ in examples[400:]]))
+    assert ((scores >= 0.7) == [bool(l) for _, l in examples[400:]]).all()
+
+
 def test_near_copies_count_once():
     rng = random.Random(7)
     base = toxic_examples(rng, 300)

@@ -190,13 +190,53 @@ def test_shards_lose_no_link(spark, kind):
     for v, root in zip(values.view(np.int64).tolist(), forest.parent.tolist(), strict=True):
         want.setdefault(root, set()).add(v)
     points = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(3)
-    edges = neardup.star_links(points, len(values), shard=200)
+    edges = neardup.star_links(points, len(values), shard=200, visitors=100)
     got = defaultdict(set)
     for r in neardup.components(edges).collect():
         got[r.root].add(r.node)
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def test_masks_agree():
+    rng = random.Random(5)
+    masks = [int(m) for m in neardup.agreeing(3)]
+    for _ in range(3000):
+        a = rng.getrandbits(64)
+        b = a
+        for i in rng.sample(range(64), 3):
+            b ^= 1 << i
+        assert any((a ^ b) & m == 0 for m in masks)
+
+
+def test_a_dense_ball(monkeypatch):
+    rng = np.random.default_rng(6)
+    flips = np.uint64(1) << np.argsort(rng.random((100_000, 64)), axis=1)[:, :4].astype(np.uint64)
+    ball = np.unique(np.uint64(0x0F0F0F0F12345678) ^ np.bitwise_or.reduce(flips, axis=1))
+    compared = []
+    honest = neardup.distance
+    monkeypatch.setattr(neardup, "distance", lambda a, b: (compared.append(np.broadcast(a, b).size), honest(a, b))[1])
+    a, b = neardup.link_shard(ball, ball[:0])
+    assert sum(compared) < 0.2 * len(ball) ** 2 / 2 and max(compared) <= neardup._CELLS  # not all pairs
+    roots = dict(zip(a.tolist(), b.tolist()))
+    some = rng.choice(len(ball), 300, replace=False)
+    for i in some.tolist():
+        near = ball[honest(ball, ball[i]) <= 3]
+        assert len({roots.get(int(v), int(v)) for v in near}) == 1
+
+
+def test_shards_are_bounded(spark):
+    points = spark.range(200_000).select(F.xxhash64("id").alias("fp"))
+    tree = neardup.shard_tree(points, 200_000, shard=2000)
+    values = np.array([r.fp for r in points.collect()], np.int64).view(np.uint64)
+    sizes = [len(h) for _, h, _ in tree.route(values, 3)]
+    assert sum(sizes) == 200_000 and max(sizes) < 3 * 2000 and len(sizes) >= 100
+
+
+def test_a_long_chain(spark):
+    edges = spark.range(4000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.root for r in neardup.components(edges).collect()} == {0}
+
+
 def test_tree_prunes():
     rng = np.random.default_rng(4)
     values = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
@@ -237,7 +277,7 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window,vocabulary,hot", [(35, 300, 64), (35, 300, 2), (6, 4, 64), (4, 2, 1), (1, 40, 64)])
+@pytest.mark.parametrize("window,vocabulary,hot", [(35, 300, 512), (35, 300, 2), (6, 4, 512), (4, 2, 1), (1, 40, 512)])
 def test_shared_passages(make_docs, window, vocabulary, hot):
     rng = random.Random(window)
     word = lambda: f"w{rng.randrange(vocabulary)}"
@@ -250,7 +290,7 @@ def test_shared_passages(make_docs, window, vocabulary, hot):
             words += rng.choice(passages) if rng.random() < 0.7 else []
         texts.append(rng.choice([" ", "  ", "\n", "\t "]).join(words))
     texts += [None, "", " ", texts[5], "é " * 3 * window, "x" * 5000 + " y " * window]
-    rows = {r.id: r for r in substring.remove_repeats(make_docs(list(enumerate(texts))), window=window, hot_blocks=hot).collect()}
+    rows = {r.id: r for r in substring.remove_repeats(make_docs(list(enumerate(texts))), window=window, hot_places=hot).collect()}
     want = brute_repeats(texts, window)
     assert [(rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) for i in range(len(texts))] == want
     for i, r in rows.items():
@@ -302,13 +342,13 @@ def test_one_hot_anchor_stays_in_bounds(make_docs):
     stock = [f"s{i}" for i in range(20)]  # a phrase that is too short for a window, in other words each time
     docs = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(30)] + stock + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(1500)]
     docs += [(2000 + i, docs[i][1]) for i in range(300)]
-    rows = {r.id: r for r in substring.remove_repeats(make_docs(docs), hot_blocks=2).collect()}
+    rows = {r.id: r for r in substring.remove_repeats(make_docs(docs), hot_places=2).collect()}
     assert all(rows[i].n_removed == (80 if i < 300 or i >= 2000 else 0) for i, _ in docs)
     block = substring.TextBlock(pa.array([t for _, t in docs]), 35)
     hot = np.array(sorted(Counter(block.anchor[block.valid].tolist()).most_common(1)[0][:1]), np.uint64)
     starts, runs = block.runs(block.anchors, hot)
     assert len(starts) > 1000 and not np.isin(block.anchor[runs[:, 0]], hot).any()  # its windows are no passages of one block
-    dealt = substring.hash_payloads(substring.HOT, 0, 50, [np.sort(substring.rolled(block.words, 35)[starts])] * 2, np.zeros(len(starts), bool))
+    dealt = substring.hash_payloads(substring.HOT, 0, 50, [np.sort(substring.rolled(block.words, 35)[starts])] * 2, np.ones(len(starts), np.int64))
     sizes = [len(r[3]) // 16 for r in dealt]
     assert len(sizes) == 50 and max(sizes) < 3 * np.median(sizes)
 
