@@ -108,6 +108,12 @@ class Engine:
                 for hook in self.hooks:
                     hook(event)
 
+    def tell_unused(self, tables: list[str]) -> None:
+        """Tells the hooks of rows that a unit of work tracked and never changed: a plain query would have done."""
+        for table in dict.fromkeys(tables):
+            for hook in self.hooks:
+                hook(QueryEvent("unit", table, 0.0, None, ("unused",)))
+
     def _notes(self, kind: str, df: DataFrame, took: float, bounded: bool) -> tuple[str, ...]:
         notes = []
         if kind == "all" and not bounded:

@@ -130,6 +130,13 @@ def drift(schema: T.StructType, spec: ModelSpec) -> list[str]:
     return out
 
 
+def declaration(spec: ModelSpec) -> str:
+    """Python that declares a model."""
+    columns = ", ".join(f'column("{c.name}", T.{c.type!r}' + (", nullable=True)" if c.nullable else ")") for c in spec.columns)
+    key = f'"{spec.key[0]}"' if len(spec.key) == 1 else repr(spec.key)
+    return f'{spec.table.upper()} = model("{spec.table}", {columns}, key={key})'
+
+
 def adopt(table: str, schema: T.StructType, key: tuple[str, ...]) -> ModelSpec:
     """A model of a table as it is."""
     return ModelSpec(table, tuple(ColumnSpec(f.name, f.dataType, f.nullable) for f in schema), key)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
@@ -56,6 +58,30 @@ def renamed_back(old: list[ModelSpec], new: list[ModelSpec]) -> list[ModelSpec]:
     return [replace(m, columns=tuple(replace(c, renamed_from=names.get((m.table, c.name))) for c in m.columns)) for m in old]
 
 
+def new_migration(folder: str, name: str) -> str:
+    """Writes a migration that does nothing yet, numbered after the last one in the folder; its path."""
+    os.makedirs(folder, exist_ok=True)
+    numbers = [int(m[1]) for f in os.listdir(folder) if (m := re.match(r"(\d+)_", f))]
+    version = f"{max(numbers, default=0) + 1:03d}"
+    slug = re.sub(r"\W+", "_", name.strip().lower())
+    path = os.path.join(folder, f"{version}_{slug}.py")
+    with open(path, "x") as f:
+        f.write(f"""from tessera.schema.migrate import Migration
+
+
+def up(changes):
+    pass
+
+
+def down(changes):
+    pass
+
+
+MIGRATION = Migration("{version}", "{slug}", up, down)
+""")
+    return path
+
+
 class Migrator:
     """Applies migrations in the order of their versions."""
 
@@ -88,6 +114,28 @@ class Migrator:
         out += [f"{m.version} {m.name}: comes before {last}, which is applied" for m in self.migrations if m.version not in done and m.version < last]
         return out + [f"{m.version} {m.name}: can't be undone" for m in self.migrations if m.down is None]
 
+    def verify(self) -> list[str]:
+        """What keeps the migrations from being what made this store: changed, unknown, out of order."""
+        known = {m.version for m in self.migrations}
+        out = [f"{v} {n}: its text has changed since it was applied" for v, n, s in self.status() if s == "changed"]
+        out += [f"{v}: is applied and not among the migrations" for v in sorted(self.applied()) if v not in known]
+        return out + [f"{m.version} {m.name}: comes before one that is applied" for m in self.pending() if m.version < max(self.applied(), default="")]
+
+    def adopt(self) -> list[str]:
+        """Notes pending migrations as applied without running them, for a store that has what they make; their versions."""
+        waiting = self.pending()
+        now = datetime.now(UTC)
+
+        def work(changes: Changes) -> None:
+            if TABLE not in changes.tables:
+                changes.create(TABLE, SCHEMA)
+            changes.append(TABLE, self.store.spark.createDataFrame([(m.version, m.name, m.checksum, now) for m in waiting], SCHEMA))
+            changes.depend(TABLE)
+
+        if waiting:
+            self.store.transact(work)
+        return [m.version for m in waiting]
+
     def up(self, steps: int | None = None) -> list[str]:
         if changed := [v for v, _, s in self.status() if s == "changed"]:
             raise MigrationError(f"changed since applied: {', '.join(changed)}")

@@ -86,6 +86,42 @@ class ModelSpec:
         for k in self.key:
             if k not in names:
                 raise ValueError(f"{self.table}: no key column {k}")
+        self._validate()
+
+    def _validate(self) -> None:
+        """What would otherwise only show in a query or a write."""
+
+        def wrong(what: str) -> None:
+            raise ValueError(f"{self.table}: {what}")
+
+        if not self.table or not self.key:
+            wrong("a model has a table and a key")
+        if self.auto_key and (len(self.key) != 1 or not isinstance(self[self.key[0]].type, (T.IntegerType, T.LongType))):
+            wrong("only a single whole-number key counts by itself")
+        for group in self.unique:
+            if missing := [c for c in group if c not in self.names]:
+                wrong(f"unique columns {missing} are not there")
+        for flag, traits in (("soft_delete", (SOFT_DELETE,)), ("versioned", (VERSION,)), ("audited", (CREATED_BY, UPDATED_BY)), ("timestamps", (CREATED_AT, UPDATED_AT))):
+            if getattr(self, flag) and not set(traits) <= set(self.names):
+                wrong(f"{flag} needs the columns {', '.join(traits)}")
+        for c in self.columns:
+            if c.references is not None and (c.references.count(".") != 1 or not all(c.references.split("."))):
+                wrong(f"{c.name} references {c.references!r}, not a table.column")
+            if c.on_delete is not None and c.references is None:
+                wrong(f"{c.name} has on_delete and references nothing")
+            if c.values is not None and c.default is not None and c.default not in c.values:
+                wrong(f"{c.name}: its default {c.default!r} is none of its values")
+        seen = set()
+        for r in self.relations:
+            if r.name in seen or r.name in self.names:
+                wrong(f"relation {r.name} takes a name that is taken")
+            seen.add(r.name)
+            if r.kind not in ("has_many", "has_one", "belongs_to", "many_to_many"):
+                wrong(f"{r.name}: no relation of kind {r.kind}")
+            if r.kind == "belongs_to" and r.key not in self.names:
+                wrong(f"{r.name}: no column {r.key}")
+            if (r.kind == "many_to_many") != (r.pivot is not None and r.other_key is not None):
+                wrong(f"{r.name}: a pivot and its two keys belong to many_to_many")
 
     @property
     def names(self) -> tuple[str, ...]:

@@ -44,6 +44,7 @@ class Tracked:
     snapshot: dict[str, Any] = field(default_factory=dict)
     whole: bool = False  # an attached row updates all its columns
     hard: bool = False
+    written: bool = False
 
     @property
     def key(self) -> tuple:
@@ -157,7 +158,7 @@ class Session:
             written = {tuple(r[k] for k in spec.key): r.asDict() for r in bulk.insert(self.changes, spec, df, actor.get()).collect()}
             for t in rows:
                 t.row.update(written[t.key])
-                t.state, t.snapshot = CLEAN, copy.deepcopy(t.row)
+                t.state, t.snapshot, t.written = CLEAN, copy.deepcopy(t.row), True
             n += len(rows)
         for t in self.tracked:
             if t.state == CLEAN and t.diff():
@@ -172,7 +173,7 @@ class Session:
                     self._update(spec, names, some)
                     n += len(some)
             for t in rows:
-                t.state, t.whole, t.snapshot = CLEAN, False, copy.deepcopy(t.row)
+                t.state, t.whole, t.snapshot, t.written = CLEAN, False, copy.deepcopy(t.row), True
         for spec, rows in self._grouped(DELETED):
             fields = [T.StructField(k, spec[k].type) for k in spec.key] + ([T.StructField(VERSION, spec[VERSION].type)] if spec.versioned else [])
             for hard in (False, True):  # one rewrite of the touched files for each kind
@@ -285,6 +286,8 @@ class Units:
             events, session.events = session.events, []
             for sink in self.sinks:
                 sink(session, events)
+            if self.engine is not None and self.engine.dev:
+                self.engine.tell_unused([t.spec.table for t in session.tracked if not t.written])
             session.changes.commit()
         finally:
             _current.reset(token)
