@@ -114,7 +114,7 @@ def insert(changes: Changes, spec: ModelSpec, df: DataFrame, actor: str | None =
     files = tuple(f for f in changes.tables[spec.table].files if f not in set(before))
     state = changes.tables[spec.table]
     written = changes.store.frame(type(state)(files, state.schema, state.changed))
-    old = changes.store.frame(type(state)(before, state.schema, state.changed))
+    old = changes.store.frame(type(state)(before, state.schema, state.changed)) if before else None
     check_rows(changes, spec, written, old)
     changes.depend(spec.table)  # uniqueness was checked against these rows
     return written

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import TesseraError
 from ..functions.handles import Handle, JoinOn, Ordering, Predicate
-from ..sources.scan import read
+from ..sources.scan import locate, read
 from ..spec import ModelSpec
 from .query import Query
 
@@ -75,12 +75,14 @@ class Engine:
             self._tables[name] = source if callable(source) and not isinstance(source, DataFrame) else lambda: source
         return self
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, spec: ModelSpec | None = None) -> DataFrame:
+        """A table; with its model, files are read in the model's types and no footer is read to infer them."""
         if name in self._tables:
             return self._tables[name]()
         if self.address is None:
             return self.spark.table(name)
-        return read(self.spark, self.address, name)
+        declared = spec is not None and locate(self.address).kind in ("parquet", "orc")
+        return read(self.spark, self.address, name, spec.schema() if declared else None)
 
     def repo(self, spec: ModelSpec) -> Repo:
         return Repo(self, spec)
@@ -155,7 +157,7 @@ class Repo:
 
     def __init__(self, engine: Engine, spec: ModelSpec, source: Callable[[], DataFrame] | None = None) -> None:
         self.engine, self.spec = engine, spec
-        self.source = source or (lambda: engine.table(spec.table))
+        self.source = source or (lambda: engine.table(spec.table, spec))
 
     def query(self) -> Query:
         return Query(self.engine, self.spec, self.source)
