@@ -135,7 +135,9 @@ class TextBlock:
         # A group is an anchor where it is the least of some window: where the largest minimum around it is its own.
         low = np.where(self.valid, self.anchor, np.uint64(0))
         padded = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)))
-        self.anchors, self.places = np.unique(grouped[sliding(padded, span, np.maximum) == grouped], return_counts=True)
+        # Anchors are small hashes, as they are the least of many: mixed again, they spread over all reference blocks.
+        self.anchors, self.places = np.unique(mix(grouped[sliding(padded, span, np.maximum) == grouped]), return_counts=True)
+        self.anchor = mix(self.anchor)
         self.words = words
 
     def runs(self, common: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -337,6 +337,13 @@ def test_factors_are_substrings_of_the_block(monkeypatch, intern, collide):
         assert covered == want
 
 
+def test_anchors_spread_evenly():
+    rng = random.Random(4)
+    block = substring.TextBlock(pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(40_000))]), 35)
+    sizes = [hi - lo for _, lo, hi in substring.shares(block.anchors, 20)]
+    assert len(sizes) == 20 and max(sizes) < 1.5 * min(sizes) and set(block.anchor[block.valid].tolist()) == set(block.anchors.tolist())
+
+
 def test_one_hot_anchor_stays_in_bounds(make_docs):
     rng = random.Random(12)
     stock = [f"s{i}" for i in range(20)]  # a phrase that is too short for a window, in other words each time

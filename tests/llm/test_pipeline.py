@@ -72,3 +72,19 @@ def test_every_query_is_registered():
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
+
+
+def test_stages_are_computed_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spark, docs, sf_dir):
+        def run(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+
+        return docs.mapInPandas(run, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("toxicity", counted), *corpus_pipeline.STAGES[1:]])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert seen.value == spark.read.parquet(f"{SF}/documents.parquet").count()
