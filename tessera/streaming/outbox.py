@@ -1,7 +1,9 @@
 """An outbox: messages stored with the data they tell of, and a relay that publishes them at least once.
 
 Messages of one partition key are published in order; a failure holds back
-the rest of its key. A message that fails too often is dead.
+the rest of its key. A message that fails too often is dead. Relays lease whole
+keys, so no two of them publish one key at the same time, whatever messages come
+in meanwhile; a lease that is not given back runs out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,16 @@ OUTBOX = T.StructType([
 ])
 
 
+#: Keys that a relay holds.
+LEASES = T.StructType([T.StructField("partition_key", T.StringType(), False), T.StructField("claimed_by", T.StringType(), False), T.StructField("claimed_until", T.TimestampType(), False)])
+
+
+def create(changes: Changes, table: str = "outbox") -> None:
+    """The tables of an outbox: its messages, and the keys that relays hold."""
+    changes.create(table, OUTBOX)
+    changes.create(f"{table}_leases", LEASES)
+
+
 def open_messages(outbox: DataFrame) -> DataFrame:
     return outbox.where("processed_at IS NULL AND dead_at IS NULL")
 
@@ -40,11 +52,16 @@ def candidate_keys(outbox: DataFrame, limit: int) -> DataFrame:
 
 def claimable(outbox: DataFrame, limit: int, now: Any = None) -> DataFrame:
     """The oldest open messages that no one holds, at most ``limit``, none behind a held one of its key."""
+    return free_messages(outbox, now).orderBy("id").limit(limit)
+
+
+def free_messages(outbox: DataFrame, now: Any = None) -> DataFrame:
+    """The open messages that no one holds, none behind a held one of its key."""
     now = F.current_timestamp() if now is None else F.lit(now)
     held = F.coalesce(F.col("claimed_until") > now, F.lit(False))
     messages = open_messages(outbox)
     busy = messages.where(held & F.col("partition_key").isNotNull()).select("partition_key").distinct()
-    return messages.where(~held).join(busy, "partition_key", "left_anti").orderBy("id").limit(limit).select(*outbox.columns)
+    return messages.where(~held).join(busy, "partition_key", "left_anti").select(*outbox.columns)
 
 
 @dataclass(frozen=True)
@@ -95,14 +112,35 @@ class Relay:
         self.store, self.publish, self.table, self.name, self.on_dead = store, publish, table, name, on_dead
         self.batch, self.lease, self.attempts, self.concurrency = batch, lease, attempts, concurrency
 
+    def _lease(self, changes: Changes, keys: list[str], now: datetime) -> None:
+        """Leases keys that no other relay holds: the oldest messages' keys, which were read in this transaction."""
+        mine = F.col("partition_key").isin(keys)
+        changes.edit(f"{self.table}_leases", mine, lambda df: df.where(~mine))
+        rows = [(k, self.name, now + timedelta(seconds=self.lease)) for k in keys]
+        changes.append(f"{self.table}_leases", self.store.spark.createDataFrame(rows, LEASES))
+        changes.depend(f"{self.table}_leases")  # who commits first has the keys
+
+    def _release(self, changes: Changes, keys: list[str]) -> None:
+        mine = F.col("partition_key").isin(keys) & (F.col("claimed_by") == self.name)
+        changes.edit(f"{self.table}_leases", mine, lambda df: df.where(~mine))
+
     def claim(self) -> list[Message]:
-        """Takes messages for the time of a lease; each claim counts as an attempt."""
+        """Takes messages for the time of a lease, of keys that no other relay holds; each claim counts as an attempt."""
 
         def work(changes: Changes) -> list[Message]:
             now = datetime.now(UTC)
             df = changes.frame(self.table)
-            rows = claimable(df, self.batch, now).collect()  # at most a batch
+            leased = f"{self.table}_leases" in changes.tables  # an outbox without leases relies on its rows' claims alone
+            if leased:
+                held = changes.frame(f"{self.table}_leases").where((F.col("claimed_until") >= F.lit(now)) & (F.col("claimed_by") != self.name))
+                df = df.join(held.select("partition_key"), "partition_key", "left_anti").select(*df.columns)
+            free = free_messages(df, now)
+            keys = [r["partition_key"] for r in candidate_keys(free, self.batch).collect()]  # at most a batch
+            wanted = F.col("partition_key").isin([k for k in keys if k is not None])
+            rows = free.where(wanted | F.col("partition_key").isNull()).orderBy("id").limit(self.batch).collect()
             if rows:
+                if leased and (own := sorted({r["partition_key"] for r in rows} - {None})):
+                    self._lease(changes, own, now)
                 ids = F.col("id").isin([r["id"] for r in rows])
                 until = F.lit(now + timedelta(seconds=self.lease)).cast("timestamp")
                 changes.edit(self.table, ids, lambda part: part.withColumns({"claimed_by": F.when(ids, F.lit(self.name)).otherwise(F.col("claimed_by")), "claimed_until": F.when(ids, until).otherwise(F.col("claimed_until")), "attempts": F.when(ids, F.col("attempts") + 1).otherwise(F.col("attempts"))}))
@@ -146,6 +184,8 @@ class Relay:
                 F.when(state == "released", F.col("attempts") - 1).otherwise(F.col("attempts")).alias("attempts"), F.when(state == "failed", F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
                 F.when((state == "failed") & (F.col("attempts") >= self.attempts), now).otherwise(F.col("dead_at")).alias("dead_at"))
             changes.edit(self.table, F.col("id").isin([m.id for m in claimed]), mark_all)
+            if f"{self.table}_leases" in changes.tables and (own := sorted({m.partition_key for m in claimed} - {None})):
+                self._release(changes, own)
 
         self.store.transact(mark, attempts=10)
         if self.on_dead is not None:
