@@ -19,7 +19,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import chunks, code_points, map_rows, quoted, text_buffers
 
