@@ -175,8 +175,8 @@ query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal FROM cu
 query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "semi_keys")(
     lambda e: e.repo(CUSTOMER).where_in("c_custkey", orders(e).where(PRICE.gt(400000)), "o_custkey").select("c_custkey")
 )
-query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "anti_keys")(
-    lambda e: e.repo(CUSTOMER).where_not_in("c_custkey", orders(e), "o_custkey").select("c_custkey")
+query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "anti_keys")(
+    lambda e: e.repo(CUSTOMER).where_not_in("c_custkey", orders(e).where(PRICE.gt(400000)), "o_custkey").select("c_custkey")
 )
 
 # ---- aggregates
