@@ -75,7 +75,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     bounds = np.searchsorted(positions, starts)
     lengths = np.diff(np.append(bounds, len(positions)))
     within = np.arange(len(positions)) - np.repeat(bounds, lengths)
-    values = _BYTE[data[positions]] * powers(int(lengths.max()))[within]
+    # Powers alone would give long words of one pattern (Thue-Morse) the hash of their complement.
+    values = _BYTE[data[positions]] * mix(powers(int(lengths.max())))[within]
     hashes = mix(np.add.reduceat(values, bounds) + lengths.astype(np.uint64) * _BASE)
     return hashes, np.searchsorted(starts, offsets)
 
@@ -377,7 +378,7 @@ def answered(answers: pa.Table, kind: int, owners: np.ndarray, buckets: int, siz
 
 
 class Sent:
-    """What a text block sends once it knows its common and hot anchors, and how to read the answers. Both depend on the block alone."""
+    """What a text block sends once it knows its common and hot anchors, and how to read the answers. Both depend on the block's rows alone, in any order."""
 
     def __init__(self, block: TextBlock, answers: pa.Table, buckets: int) -> None:
         self.block, self.buckets = block, buckets
@@ -386,10 +387,11 @@ class Sent:
         names = [h[self.hot] for h in (rolled(block.words, block.window), rolled(mix(block.words ^ _BASE), block.window))] if len(self.hot) else [np.zeros(0, np.uint64)] * 2
         order = np.lexsort(names[::-1])
         self.windows, self.row = distinct([x[order] for x in names], order)
-        # Passages in the order of their anchors; of equal ones the first is sent.
+        # Passages in the order of their anchors, and of their words within one; of equal ones the first is sent. The
+        # answers are read from rows that a shuffle may bring in another order, so places in the block order nothing.
         passages = block.passages(runs)
         anchor = block.anchor[runs[:, 0]] if len(runs) else np.zeros(0, np.uint64)
-        order = np.argsort(anchor, kind="stable")
+        order = np.array(sorted(range(len(passages)), key=list(zip(anchor.tolist(), passages, strict=True)).__getitem__), np.int64)
         self.runs = runs[order]
         first: dict[bytes, int] = {}
         self.copy = np.zeros(len(runs), np.int64)

@@ -360,6 +360,39 @@ def test_one_hot_anchor_stays_in_bounds(make_docs):
     assert len(sizes) == 50 and max(sizes) < 3 * np.median(sizes)
 
 
+@pytest.mark.parametrize("hot", [512, 20, 2])
+def test_rows_in_another_order_each_time(hot):
+    rng = random.Random(21)
+    window = 6
+    passages = [[rng.choice("abcd") for _ in range(n)] for n in (5, 6, 7, 18)]
+    texts = [" ".join(w for _ in range(3) for w in [*rng.choices("abcdefgh", k=rng.randint(0, 12)), *rng.choice(passages)]) for _ in range(60)]
+
+    def block():  # a shuffle brings a block's rows from several executors as they come
+        order = rng.sample(range(len(texts)), len(texts))
+        return order, substring.TextBlock(pa.array([texts[i] for i in order]), window)
+
+    _, first = block()
+    anchors = substring.refer(substring.sent_table(substring.hash_payloads(substring.ANCHORS, 0, 1, [first.anchors], first.places)), window, hot)
+    sent = [substring.Sent(block()[1], anchors, 1).payloads(0) for _ in range(2)]
+    assert sent[0] == sent[1]
+    answers = pa.concat_tables([anchors, substring.refer(substring.sent_table(sent[0]), window, hot)])
+    order, last = block()
+    gone = np.zeros(last.total, bool)
+    for a, n in last.factors(substring.Sent(last, answers, 1).found(answers)).tolist():
+        gone[a : a + n] = True
+    want = [n for _, n, _ in brute_repeats(texts, window)]
+    assert {i: int(gone[lo:hi].sum()) for i, lo, hi in zip(order, last.offsets[:-1], last.offsets[1:], strict=True)} == dict(enumerate(want))
+
+
+def test_long_words_of_one_pattern_differ(make_docs):
+    """Thue-Morse words and their complements, which a sum of powers cannot tell apart, in windows of hot anchors."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    stock = [f"s{i}" for i in range(34)]
+    texts = [" ".join([*stock[:17], w, *stock[17:]]) for w in (word, word.translate(str.maketrans("ab", "ba")), "z", "z")]
+    rows = {r.id: r.n_removed for r in substring.remove_repeats(make_docs(list(enumerate(texts))), hot_places=1).collect()}
+    assert rows == {0: 0, 1: 0, 2: 35, 3: 35}
+
+
 def test_passages_odd_rows(odd_docs, no_docs):
     rows = substring.remove_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count()
